@@ -299,7 +299,7 @@ def test_near_vectors_match_brute_force(spark, sf, monkeypatch):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     rng = np.random.default_rng(4)
     some = vectors.limit(60).collect()
-    near = [(10_000 + 20 * i + k, (np.array(r.embedding) + rng.standard_normal(64) * s / 8).tolist(), r.label) for i, r in enumerate(some) for k, s in enumerate((0, 0.02, 0.1, 0.3, 0.4, 0.5))]
+    near = [(10_000 + 20 * i + k, (np.array(r.embedding) + rng.standard_normal(64) * s / 8).tolist(), r.label) for i, r in enumerate(some) for k, s in enumerate((0, 0.02, 0.1, 0.15, 0.2, 0.8))]
     vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label").unionByName(vectors.sparkSession.createDataFrame(near, "vec_id long, embedding array<double>, label int"))
     rows = [tuple(r) for r in vectors.collect()]
     assert check_vectors(rows, embedding_dedup.near_vectors(vectors).collect())
