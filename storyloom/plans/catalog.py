@@ -1,5 +1,7 @@
 """The registered queries and their SQL."""
 
+from .queries import QUERIES
+from .sql import ORACLE_SQL
+
 FLAGSHIP = "q_top_stories"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
