@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, html_text, licenses, line_dedup, minhash_dedup, packing, poisson_mix, quality, secrets, topk
+from .sql import ORACLE_SQL  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,4 +76,3 @@ def op10_topk(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_line_dedup, op3_packing, op4_html_text, op5_secrets, op6_embedding_dedup, op7_licenses, op8_quality, op9_poisson_mix, op10_topk)}
-ORACLE_SQL: dict[str, str] = {}
