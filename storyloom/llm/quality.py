@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ._common import batches, session
 
 SAMPLE = 3000  # labelled rows of each class that are learned from at most; half build a dictionary, half calibrate
-SAMPLE_CHARS = 4000  # of each of those texts
+EXCERPT = 4000  # characters of a text that go into a dictionary
 DICTIONARY = 1 << 20  # bytes of a dictionary
 CHUNK = 2048
 LEVEL = 3
@@ -34,7 +34,7 @@ class Model:
 
 def _compressors(model: Model):
     out = []
-    for raw in (model.good, model.bad):
+    for raw in (model.good or b"-", model.bad or b"-"):
         d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         params = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=21, write_content_size=0, write_checksum=0, write_dict_id=0)
         d.precompute_compress(compression_params=params)
@@ -68,35 +68,53 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, order: str = "doc_id") -> Model:
-    """A model from rows (text, quality, <order>): at most SAMPLE rows a class, in the order of a hash of `order`.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from docs (id, text) and labels (id, quality): at most SAMPLE labels a class, in the order of a hash of the
+    id, so that what reaches the driver is bounded. Null ids and labels other than 0 and 1 are left out.
 
-    Without rows of both classes the score is the share of good rows (0.5 without any).
+    Without labelled texts of both classes the score is the share of good labels (0.5 without any).
     """
-    key = F.xxhash64(F.col(order), F.lit(11))
-    text = F.substring(F.coalesce(F.col("text"), F.lit("")), 1, SAMPLE_CHARS).alias("text")
-    usable = labelled.filter("quality in (0, 1)")
+    usable = labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), "quality")
     counts = {r.quality: r.n for r in usable.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    by: dict[int, list[bytes]] = {}
-    for q in (0, 1):
-        rows = usable.filter(F.col("quality") == q).orderBy(key, order).limit(SAMPLE).select(text).collect()
-        by[q] = [r.text.encode() for r in rows]
-    build = {q: t[::2] for q, t in by.items()}
-    raw = {q: b"\n".join(t)[-DICTIONARY:] for q, t in build.items()}
+    usable = usable.withColumn("__key", F.xxhash64("__id", F.lit(11)))
+    drawn = [usable.filter(F.col("quality") == q).orderBy("__key", "__id").limit(SAMPLE).collect() for q in (0, 1)]
+    # Of each class every second label builds the dictionary, the others calibrate.
+    rows = [(r["__id"], q, i % 2) for q in (0, 1) for i, r in enumerate(drawn[q])]
+    spark = session(docs)
+    picked = F.broadcast(spark.createDataFrame(rows, "__id long, quality int, part int"))  # 2 * SAMPLE rows at most
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(picked, "__id")
     n = sum(counts.values())
     share = (counts.get(1, 0) + 0.5) / (n + 1)
-    if min(len(by[0]), len(by[1])) < 4:
-        return Model(raw[1], raw[0], (math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0))
+    blank = Model(b"", b"", (math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0))
+    built = texts.filter("part = 0").select("quality", F.xxhash64("__id", F.lit(11)).alias("k"), "__id", F.substring("text", 1, EXCERPT).alias("text"))
+    by: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in sorted(built.collect(), key=lambda r: (r.k, r["__id"], r.text)):
+        by[r.quality].append(r.text.encode("utf-8", "replace"))
+    if min(map(len, by.values())) < 2:
+        return blank
+    raw = {q: b"\n".join(t)[-DICTIONARY:] for q, t in by.items()}
     smallest = min(len(x) for x in raw.values())  # neither dictionary is to win by its size
-    raw = {q: x[-smallest:] for q, x in raw.items()}
-    blank = Model(raw[1], raw[0], ())
-    tools = _compressors(blank)
-    x = np.array([features(t, tools) for q in (0, 1) for t in by[q][1::2]])
-    y = np.repeat([0.0, 1.0], [len(by[0][1::2]), len(by[1][1::2])])
+    if not smallest:
+        return blank
+    model = Model(raw[1][-smallest:], raw[0][-smallest:], ())
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<double>")
+    def measured(texts):
+        import pandas as pd
+
+        tools = _tools(shared.value)
+        return pd.Series([features(t.encode("utf-8", "replace"), tools) for t in texts], dtype=object)
+
+    batches(spark)
+    held = texts.filter("part = 1").select("quality", measured("text").alias("x")).collect()  # SAMPLE rows of five numbers
+    if len({r.quality for r in held}) < 2:
+        return blank
+    held.sort(key=lambda r: (r.quality, r.x))
+    x, y = np.array([r.x for r in held]), np.array([float(r.quality) for r in held])
     w = _logistic(x, y)
-    drawn = len(by[1][1::2]) / len(y)
-    w[0] += math.log(share / (1 - share)) - math.log(drawn / (1 - drawn))  # from the sample's share of good texts to the rows'
-    return Model(raw[1], raw[0], tuple(w))
+    w[0] += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))  # from the sample's share of good texts to the labels'
+    return Model(model.good, model.bad, tuple(w))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -121,12 +139,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     return docs.withColumn(out, scored(F.col(text_col).cast("string")))
 
 
-_kept: dict[int, tuple] = {}
+_kept: dict[tuple, list] = {}
 
 
 def _tools(model: Model):
     """The compressors of a model, made once in a worker."""
-    if hash(model.weights) not in _kept:
+    key = hash(model.good), hash(model.bad)
+    if key not in _kept:
         _kept.clear()
-        _kept[hash(model.weights)] = _compressors(model)
-    return _kept[hash(model.weights)]
+        _kept[key] = _compressors(model)
+    return _kept[key]

@@ -54,8 +54,7 @@ def held_out(id_col: str = "doc_id"):
 def quality_model(spark, sf_dir, docs: DataFrame | None = None) -> quality.Model:
     """A model from the labelled documents that aren't held out."""
     docs = table(spark, sf_dir, "documents") if docs is None else docs
-    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", "quality")
-    return quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", "quality"))
 
 
 KEEP = 0.3  # score from which a document counts as good
