@@ -67,8 +67,9 @@ def test_near_duplicates_match_brute_force(spark, sf, words):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
 
 
-def test_near_duplicates_join_across_stars(spark):
-    """A chain of neighbours, none of whom resembles the ends, hangs together."""
+def test_near_duplicates_join_across_stars(spark, monkeypatch):
+    """A chain of neighbours, none of whom resembles the ends, hangs together; buckets are dealt into blocks."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 3)
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(400)]
     rows, now = [], list(words[:100])
@@ -112,17 +113,19 @@ def test_line_removals_match_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     seen, want = {}, set()
     for r in docs.orderBy("doc_id").collect():
-        cut = r.text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n")
-        at = 0
+        cut, at, mine = "".join("\n" if c == " " and i and r.text[i - 1] in ".!?,;:|" else c for i, c in enumerate(r.text)), 0, []
         for unit in cut.split("\n"):
             w = unit.encode().split()
-            if len(w) >= line_dedup.MIN_WORDS:
+            if w:
                 key = b" ".join(w).lower()
-                if key in seen:
-                    want.add((r.doc_id, at, len(unit), len(w), *seen[key]))
-                else:
-                    seen[key] = (r.doc_id, at)
+                mine.append((r.doc_id, at, len(unit), len(w), *seen.get(key, (None, None))))
+                seen.setdefault(key, (r.doc_id, at))
             at += len(unit) + 1
+        for repeated, run in itertools.groupby(mine, key=lambda u: u[4] is not None):
+            run = list(run)
+            n = sum(u[3] for u in run)
+            if repeated and n >= line_dedup.MIN_RUN:
+                want |= {(*u[:4], n, *u[4:]) for u in run}
     spans = line_dedup.removals(docs)
     assert {tuple(r) for r in spans.collect()} == want and want
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -137,9 +140,9 @@ def test_line_removals_match_brute_force(spark, sf):
 
 
 def test_line_removals_odd_rows(spark):
-    got = {tuple(r)[:2] + (r.first_doc_id,) for r in line_dedup.removals(odd_docs(spark)).collect()}
-    assert got == {(5, 0, 5), (6, 0, 5), (7, 0, 5), (None, 0, 5)}
-    assert line_dedup.remove(odd_docs(spark), line_dedup.removals(odd_docs(spark))).count() == len(ODD_TEXTS) + 3
+    got = {tuple(r)[:2] + (r.first_doc_id,) for r in line_dedup.removals(odd_docs(spark), 10).collect()}
+    assert got == {(5, 0, 5), (6, 0, 5), (7, 0, 5), (None, 0, 5)} and line_dedup.removals(odd_docs(spark)).count() == 0
+    assert line_dedup.remove(odd_docs(spark), line_dedup.removals(odd_docs(spark), 10)).count() == len(ODD_TEXTS) + 3
     assert line_dedup.removals(no_docs(spark)).count() == 0
 
 
@@ -376,11 +379,12 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_quality_odd_rows(spark):
-    model = quality.fit(spark.createDataFrame([(i, "good words here %d" % i if i % 2 else "BAD!! $$$ %d" % i, i % 2) for i in range(60)], "doc_id long, text string, quality int"))
+    labelled = spark.createDataFrame([(i, "good words here %d" % i if i % 2 else "BAD!! $$$ %d" % i, i % 2) for i in range(60)] + [(None, "x", 1), (70, None, 1), (71, "y", None)], "doc_id long, text string, quality int")
+    model = quality.fit(labelled.drop("quality"), labelled.drop("text"))
     rows = quality.score(odd_docs(spark).withColumn("score", F.lit("x")), model).collect()
     assert len(rows) == len(ODD_TEXTS) + 3 and all(0 <= r.score <= 1 for r in rows)
     assert rows[0].score == rows[1].score
-    none = quality.fit(spark.createDataFrame([], "doc_id long, text string, quality int"))
+    none = quality.fit(labelled.drop("quality"), labelled.drop("text").limit(0))
     assert quality.score(odd_docs(spark), none).first().score == pytest.approx(0.5)
     assert quality.score(no_docs(spark), model).count() == 0
 
