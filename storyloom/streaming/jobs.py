@@ -18,6 +18,20 @@ def read_topic(spark: SparkSession, servers: str, topic: str, schema: str, most_
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
 
 
+def write_topic(df: DataFrame, servers: str, topic: str, key: str, checkpoint: str):
+    """Start writing a stream's rows, as JSON, to a topic under a key (needs the Kafka connector on the class path)."""
+    record = df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
+    options = {"kafka.bootstrap.servers": servers, "topic": topic, "checkpointLocation": checkpoint, "kafka.acks": "all", "kafka.enable.idempotence": "true", "kafka.compression.type": "lz4"}
+    return record.writeStream.format("kafka").options(**options).start()
+
+
+def watched(articles: DataFrame, name: str = "storyloom") -> DataFrame:
+    """articles with counters that listeners get with each batch: rows, duplicates by whether they hide, lag in seconds."""
+    hidden = F.col("dup_kind").isin("exact_url", "exact_content", "near_dup")
+    lag = F.unix_seconds(F.col("fetched_at").cast("timestamp")) - F.unix_seconds(F.col("published_at").cast("timestamp"))
+    return articles.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(hidden).alias("hidden"), F.count_if(F.col("dup_kind") == "syndicated").alias("syndicated"), F.max(lag).alias("lag_s"))
+
+
 def read_folder(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 64) -> DataFrame:
     """Parquet files of a folder as they come."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

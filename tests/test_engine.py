@@ -215,6 +215,64 @@ def test_pushed_batches(spark):
             apis.pushed(spark, bad)
 
 
+def test_fetching(spark):
+    """Conditional requests against a server of our own, and a source that is gone."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from storyloom.sources import fetch
+
+    class Feed(BaseHTTPRequestHandler):
+        def do_GET(self):
+            known = self.headers.get("If-None-Match") == "v1"
+            self.send_response(304 if known else 404 if "gone" in self.path else 200)
+            self.send_header("ETag", "v1")
+            self.end_headers()
+            if not known:
+                self.wfile.write(RSS.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Feed)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    src = spark.createDataFrame([(1, f"{base}/a", None, None), (2, f"{base}/b", "v1", None), (3, f"{base}/gone", None, None)], "id long, feed_url string, etag string, last_modified string")
+    got = fetch.fetch(spark, src).cache()
+    assert sorted((r.source_id, r.status, r.etag, r.body is None, r.error is None) for r in got.collect()) == [(1, 200, "v1", False, True), (2, 304, "v1", True, True), (3, 404, None, True, False)]
+    out = fetch.outcomes(got, apis.parse_feeds(got.select("source_id", "body")))
+    assert sorted((r.id, r.ok, r.items) for r in out.collect()) == [(1, True, 1), (2, True, 0), (3, False, 0)]
+    assert fetch.fetch(spark, src.limit(0)).count() == 0
+    server.shutdown()
+
+
+def test_politeness():
+    from storyloom.sources import fetch
+
+    now, waits = [0.0], []
+    bucket = fetch.TokenBucket(2.0, 5.0, lambda: now[0], waits.append)
+    assert [bucket.take("a") for _ in range(5)] == [0.0] * 5 and bucket.take("a") == pytest.approx(0.5) and bucket.take("b") == 0.0
+    assert [fetch.backoff(i, draw=lambda lo, hi: hi) for i in range(6)] == [0.5, 1, 2, 4, 8, 8]
+    calls = []
+
+    def fails():
+        calls.append(1)
+        raise ConnectionError
+
+    with pytest.raises(ConnectionError):
+        fetch.with_retries(fails, 3, lambda _: None)
+    assert len(calls) == 3
+
+
+def test_watched_counters(spark, demo):
+    from pyspark.sql import Observation
+
+    stored = demo[1]
+    seen = Observation("demo")
+    n = jobs.watched(stored, seen).count()
+    assert n == 20 and seen.get["rows"] == 20 and seen.get["syndicated"] == 2 and seen.get["hidden"] == 0
+
+
 def test_polling(spark):
     base = (None, None, None, "rss", 0.6, "en", True, 180, None, None, None, None, 4, None, AS_OF)
     src = spark.createDataFrame([(i, *base) for i in range(3)], schema.SOURCE)
