@@ -4,9 +4,10 @@ Each distinct shingle set gets BANDS * ROWS MinHash samples. Bands of ROWS sampl
 samples, folded into a bitmap of parities (an odd sketch), tell by the population count of an XOR how many samples
 differ, which rules out candidates far below the threshold; what remains is confirmed on the full shingle sets.
 
-Work per group stays linear where a group hangs together: a bucket first compares its members with its smallest one
-only; pairs of members are compared only in buckets whose members then still lie in different components, and only
-across components. No link between components can be lost this way, as a pair in one component adds nothing to it.
+Where a group hangs together, work stays linear: a bucket first compares its members with its smallest one only. Pairs
+of members are compared only in buckets whose members then still lie in different components, only across components,
+and in the first band they share; for those, longer odd sketches leave over little more than true links. No link between
+components can be lost this way, as a pair in one component adds nothing to it.
 """
 
 from __future__ import annotations
@@ -19,25 +20,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SEED, batches, components, discard, materialise, mix, session, shingle_set
+from ._common import SEED, batches, components, discard, materialise, mix, session, shingle_set, small
 
 ROWS = 6
 BANDS = 48  # at a similarity of 0.8 a pair misses all bands with probability 5e-7
 BITS = 1024  # of an odd sketch
-MARGIN = 0.17  # how far below the threshold an estimate must lie to rule a pair out: over six standard errors
+MARGIN = 0.13  # how far below the threshold an estimate must lie to rule a pair out: five standard errors
+FINE = 2048  # samples of the longer sketches
+FINE_BITS = 8192
+BLOCK = 1024  # rows of a bucket that are compared with as many others at a time
+BROADCAST_IDS = 500_000  # ids up to which the texts they need are found by a broadcast
+FINE_MARGIN = 0.05  # five standard errors of the longer sketches
 
-_rng = np.random.default_rng(SEED + 1)
-_MULTIPLY = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_FLIP = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-_SLOT = mix(np.arange(BANDS * ROWS, dtype=np.uint64) + np.uint64(SEED))
+def _maps(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 2**31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, count, dtype=np.uint32)
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS samples of a non-empty set of 64-bit hashes."""
+_COARSE_MAPS, _FINE_MAPS = _maps(BANDS * ROWS, SEED + 1), _maps(FINE, SEED + 2)
+
+
+def minhash(shingles: np.ndarray, maps: tuple[np.ndarray, np.ndarray] = _COARSE_MAPS) -> np.ndarray:
+    """One sample for each map of a non-empty set of 64-bit hashes."""
+    multiply, flip = (x[:, None] for x in maps)
     x = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
-    out = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    for i in range(0, len(x), 512):
-        np.minimum(out, ((x[None, i : i + 512] * _MULTIPLY[:, None]) ^ _FLIP[:, None]).min(axis=1), out=out)
+    out = np.full(len(multiply), 0xFFFFFFFF, dtype=np.uint32)
+    step = max(32, (1 << 18) // len(out))
+    for i in range(0, len(x), step):
+        np.minimum(out, ((x[None, i : i + step] * multiply) ^ flip).min(axis=1), out=out)
     return out
 
 
@@ -50,16 +60,17 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """The parity bitmap of the samples, as BITS / 64 numbers."""
-    at = (mix(samples.astype(np.uint64) ^ _SLOT) >> np.uint64(20)) % np.uint64(BITS)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view(np.int64)
+def odd_sketch(samples: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The parity bitmap of the samples, as bits / 64 numbers."""
+    slots = mix(np.arange(len(samples), dtype=np.uint64) + np.uint64(SEED))
+    at = (mix(samples.astype(np.uint64) ^ slots) >> np.uint64(20)) % np.uint64(bits)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
-def differing_bits(similarity: float) -> float:
+def differing_bits(similarity: float, samples: int = BANDS * ROWS, bits: int = BITS) -> float:
     """The expected population count of the XOR of two odd sketches."""
-    flips = 2 * BANDS * ROWS * (1 - similarity)
-    return BITS * (1 - (1 - 2 / BITS) ** flips) / 2
+    flips = 2 * samples * (1 - similarity)
+    return bits * (1 - (1 - 2 / bits) ** flips) / 2
 
 
 def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,6 +106,100 @@ def _may_match(threshold: float, a: str = "a", b: str = "b") -> Column:
     return sizes & (flips <= most)
 
 
+def _fine_sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(node, fine) for rows (node, text)."""
+
+    def run(it):
+        for batch in it:
+            nodes, fine = [], []
+            for node, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                s = shingle_set(t, words)
+                if len(s):
+                    nodes.append(node)
+                    fine.append(odd_sketch(minhash(s, _FINE_MAPS), FINE_BITS))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fine, pa.list_(pa.int64()))], names=["node", "fine"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, fine array<long>")
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Rows (key, band, node, component) of buckets as (key, i, j, block, ...): a bucket of many blocks is dealt into pairs
+    of blocks, so that a task holds two blocks of BLOCK rows at most."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    dealt = rows.join(sizes, "key").withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    return dealt.withColumn("tile", F.explode(pairs)).select("key", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "block", "band", "node", "component")
+
+
+def _likely(tiles: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share a bucket and may reach threshold by their sizes and both
+    odd sketches, each in the first band it shares. nodes has (node, n, bands, odd, fine)."""
+    coarse = math.floor(differing_bits(threshold - MARGIN))
+    fine = math.floor(differing_bits(threshold - FINE_MARGIN, FINE, FINE_BITS))
+
+    def flips(x, y):
+        return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        col = {c: t[c].combine_chunks() for c in ("node", "component", "n", "bands", "odd", "fine", "block")}
+        wide = {c: np.asarray(col[c].flatten()).reshape(t.num_rows, -1) for c in ("bands", "odd", "fine")}
+        node, component, n, block = (np.asarray(col[c]) for c in ("node", "component", "n", "block"))
+        band, i, j = t["band"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
+        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        a, b = [], []
+        for s in range(0, len(rows), 64):  # a strip of pairs at a time
+            r = rows[s : s + 64]
+            open_ = component[r][:, None] != component[cols][None]
+            if i == j:
+                open_ &= r[:, None] < cols[None]
+            lo, hi = np.minimum(n[r][:, None], n[cols][None]), np.maximum(n[r][:, None], n[cols][None])
+            x, y = np.nonzero(open_ & (lo >= hi * (threshold - 1e-9)))
+            x, y = r[x], cols[y]
+            for ok in (
+                lambda x, y: flips(wide["odd"][x], wide["odd"][y]) <= coarse,
+                lambda x, y: ~(wide["bands"][x, :band] == wide["bands"][y, :band]).any(axis=1),
+                lambda x, y: flips(wide["fine"][x], wide["fine"][y]) <= fine,
+            ):
+                good = ok(x, y)
+                x, y = x[good], y[good]
+            a.append(np.maximum(node[x], node[y]))
+            b.append(np.minimum(node[x], node[y]))
+        empty = np.empty(0, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *a])), pa.array(np.concatenate([empty, *b]))], names=["a", "b"])
+
+    def run(it):
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def done():
+            t = pa.Table.from_batches(held)
+            held.clear()
+            return [compare(t)] if t.num_rows > 1 else []
+
+        for batch in it:
+            marks = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
+            start = 0
+            for at, mark in enumerate(marks):
+                if mark != last:
+                    if at > start:
+                        held.append(batch.slice(start, at - start))
+                    if held:
+                        yield from done()
+                    start, last = at, mark
+            held.append(batch.slice(start))
+        if held:
+            yield from done()
+
+    full = tiles.join(nodes, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return full.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of texts whose node is among ids (node); ids is read more than once."""
+    return texts.join(F.broadcast(ids) if small(ids, BROADCAST_IDS) else ids, "node", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes whose full shingle sets have 100 * |intersection| >= percent * |union|."""
 
@@ -118,10 +223,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
             out = pa.Table.from_batches([batch]).select([0, 1]).filter(pa.array(good))
             yield from out.to_batches()
 
+    pairs = materialise(pairs, "pairs")
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
+    texts = _texts_of(ids, texts)
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    out = materialise(joined.mapInArrow(run, "a long, b long").distinct(), "links")
+    discard(pairs, ids)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,39 +250,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     whole = all_rows.alias("r").join(groups.filter("node is not null").alias("g"), (F.col("r.digest") == F.col("g.digest")) & (F.col("r.id") == F.col("g.node")))
     nodes = materialise(whole.select("g.node", "r.n", "r.bands", "r.odd").dropDuplicates(["node", "n", "odd"]), "nodes")
 
-    banded = nodes.select("node", "n", F.explode("bands").alias("key"))
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = materialise(banded.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "centre"), "buckets")
     members = materialise(banded.join(buckets, "key"), "members")
-    flat = nodes.select("node", "n", "odd")
-    stars = members.filter("node <> centre").select("node", "centre").distinct()
-    stars = stars.join(flat.alias("a"), "node").join(flat.select(F.col("node").alias("centre"), "n", "odd").alias("b"), "centre")
-    stars = stars.filter(_may_match(threshold)).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    links = materialise(_confirmed(stars, texts, words, percent), "links")
-    first = components(links)
-
-    placed = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    open_rows = materialise(placed.select("key", "node", "component").join(open_keys, "key").join(flat, "node"), "open")
-    a, b = open_rows.alias("a"), open_rows.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _may_match(threshold))
-    pairs = across.select(F.col("b.node").alias("a"), F.col("a.node").alias("b")).distinct()
-    pairs = pairs.join(stars_tested(members), ["a", "b"], "left_anti")
-    more = materialise(_confirmed(pairs, texts, words, percent), "links")
-    if more.isEmpty():
-        final = first
-    else:
-        final = components(first.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-        discard(first)
-    discard(links, more, open_rows, members, buckets, nodes)
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """The links among distinct pairs (a, b) of nodes."""
+        x, y = (nodes.select(F.col("node").alias(c), F.struct("n", "odd").alias(f"s{c}")) for c in "ab")
+        likely = pairs.join(x, "a").join(y, "b").filter(_may_match(threshold, "sa", "sb")).select("a", "b")
+        return _confirmed(likely, texts, words, percent)
+
+    def still_open(place: DataFrame) -> DataFrame:
+        """Members, with their components, of buckets that hold more than one component."""
+        placed = members.join(place, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        return materialise(placed.select("key", "band", "node", "component").join(keys, "key"), "open")
+
+    def joined(place: DataFrame, links: DataFrame) -> DataFrame:
+        """Components with further links."""
+        if links.isEmpty():
+            return place
+        known = place.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        out = components(known.unionByName(links))
+        discard(place)
+        return out
+
+    links = confirm(members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
+    place = components(links)
+    discard(links)
+
+    rows = still_open(place)
+    wanted = materialise(rows.select("node").distinct(), "ids")
+    fine = materialise(_fine_sketches(_texts_of(wanted, texts), words), "fine")
+    # Half of a band's key tells shared bands well enough: a wrong match has a probability of 1e-8.
+    slim = nodes.select("node", "n", F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("bands"), "odd")
+    likely = _likely(_tiles(rows), slim.join(fine, "node"), threshold)
+    links = _confirmed(likely, texts, words, percent)
+    final = joined(place, links)
+    discard(links, rows, members, buckets, nodes, fine, wanted)
 
     placed = groups.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = all_rows.filter("n > 0").join(placed, "digest").select("id", "n", "component")
     out = out.unionByName(all_rows.filter("n = 0").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull()).alias("kept"))
-
-
-def stars_tested(members: DataFrame) -> DataFrame:
-    """The pairs that the first pass has compared already."""
-    return members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
