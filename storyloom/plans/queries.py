@@ -349,11 +349,11 @@ def q_recency(spark, sf):
 
 
 def q_score(spark, sf):
-    return stories.with_score(_stories(spark, sf), ad.as_of(spark, sf)).select("story_id", F.round("score", 5).alias("score"))
+    return stories.with_score(_stories(spark, sf), ad.as_of(spark, sf)).select("story_id", F.round("score", 6).alias("score"))
 
 
 def q_rank_refresh(spark, sf):
-    return stories.refresh(_stories(spark, sf), ad.as_of(spark, sf)).select("story_id", F.round("score", 5).alias("score"))
+    return stories.refresh(_stories(spark, sf), ad.as_of(spark, sf)).select("story_id", F.round("score", 6).alias("score"))
 
 
 def q_relevance(spark, sf):
@@ -363,7 +363,7 @@ def q_relevance(spark, sf):
 
 
 def _scored(spark, sf):
-    return stories.with_score(_stories(spark, sf), ad.as_of(spark, sf)).withColumn("score", F.round("score", 5))
+    return stories.with_score(_stories(spark, sf), ad.as_of(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 def q_top_stories(spark, sf):
@@ -390,7 +390,7 @@ def q_feed_keyset(spark, sf):
 
 
 def q_feed_personalised(spark, sf):
-    return _page(spark, sf).select("position", "story_id", F.round("rank_score", 5).alias("rank_score"))
+    return _page(spark, sf).select("position", "story_id", F.round("rank_score", 6).alias("rank_score"))
 
 
 def q_resurface(spark, sf):

@@ -59,7 +59,7 @@ def _share(x: str, norm: float) -> str:
     return f"least(1.0, ln(1 + greatest(0.0, {x})) / {math.log1p(norm)!r})"
 
 
-_SCORE = f"round(round((0.45 * {_share('authority', 12)} + 0.30 * {_share('independent_source_count', 25)} + 0.15 * {_share('velocity', 10)}) * {_RECENCY}, 6), 5)"
+_SCORE = f"round((0.45 * {_share('authority', 12)} + 0.30 * {_share('independent_source_count', 25)} + 0.15 * {_share('velocity', 10)}) * {_RECENCY}, 6)"
 STORIES = f"""st AS (SELECT rc.*, x.language, x.topic, CASE WHEN run % 7 = 6 THEN 's_' || x.language || '_' || (run - 1) END AS merged_into_id, CASE WHEN run % 7 = 6 THEN 'merged' ELSE 'active' END AS status, {_SCORE} AS score, article_count AS version FROM rc JOIN (SELECT story_id, min(language) AS language, min(topic) AS topic, min(run) AS run FROM p GROUP BY story_id) x USING (story_id))"""
 LEDGER = "led AS (SELECT user_id::VARCHAR AS user_id, 's_' || (['en', 'fr', 'de', 'es'])[user_id % 4 + 1] || '_' || event_id % 83 AS story_id, min((SELECT as_of FROM clock) - to_hours(CAST(event_id % 20 AS INT))) AS delivered_at FROM events GROUP BY ALL)"
 _EVENT_TOPIC = "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN {_q(t)}" for i, t in enumerate(TOPICS)) + " END"
@@ -188,7 +188,7 @@ ORACLE_SQL = {
     "q_feed_topic": "WITH " + ALL + " SELECT story_id, score FROM live WHERE independent_source_count >= 2 AND topic = 'science' AND language = 'en' ORDER BY score DESC, story_id DESC LIMIT 10",
     "q_feed_page": "WITH " + ALL + f", {_UNDELIVERED} SELECT row_number() OVER (ORDER BY score DESC, story_id DESC)::INT AS position, story_id, score FROM ud ORDER BY score DESC, story_id DESC LIMIT 15",
     "q_feed_keyset": "WITH " + ALL + f", {_UNDELIVERED} SELECT row_number() OVER (ORDER BY score DESC, story_id DESC)::INT AS position, story_id, score FROM ud WHERE score < 0.4 OR (score = 0.4 AND story_id < 's_en_40') ORDER BY score DESC, story_id DESC LIMIT 15",
-    "q_feed_personalised": "WITH " + ALL + f", {_UNDELIVERED}, pk AS (SELECT * FROM ud ORDER BY score DESC, story_id DESC LIMIT 15), ps AS (SELECT story_id, round(round(score + 0.1 * coalesce((SELECT weight FROM aff WHERE user_id = '{USER}' AND aff.topic = pk.topic), 0), 6), 5) AS rank_score FROM pk) SELECT row_number() OVER (ORDER BY rank_score DESC, story_id DESC)::INT AS position, story_id, rank_score FROM ps",
+    "q_feed_personalised": "WITH " + ALL + f", {_UNDELIVERED}, pk AS (SELECT * FROM ud ORDER BY score DESC, story_id DESC LIMIT 15), ps AS (SELECT story_id, round(score + 0.1 * coalesce((SELECT weight FROM aff WHERE user_id = '{USER}' AND aff.topic = pk.topic), 0), 6) AS rank_score FROM pk) SELECT row_number() OVER (ORDER BY rank_score DESC, story_id DESC)::INT AS position, story_id, rank_score FROM ps",
     "q_resurface": "WITH " + ALL + f", mine AS (SELECT story_id, delivered_at - INTERVAL 1 HOUR AS d FROM led WHERE user_id = '{USER}'), sn AS (SELECT story_id, count(DISTINCT source_id) AS seen FROM p JOIN mine USING (story_id) WHERE dup_kind IS NULL AND fetched_at <= d GROUP BY story_id) SELECT story_id, independent_source_count, coalesce(seen, 0) AS seen_sources FROM live JOIN mine USING (story_id) LEFT JOIN sn USING (story_id) WHERE independent_source_count - coalesce(seen, 0) >= 2 AND independent_source_count >= 1.5 * coalesce(seen, 0)",
     "q_replay": "WITH " + ALL + " SELECT row_number() OVER (ORDER BY score DESC, story_id DESC)::INT AS position, story_id FROM st ORDER BY score DESC, story_id DESC LIMIT 10",
     "q_cursors": "WITH " + ALL + f" SELECT story_id, {_B64} AS cursor FROM st",
