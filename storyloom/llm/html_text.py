@@ -2,8 +2,9 @@
 
 The pages of a host merge into one tree, whose nodes are paths of elements with their class and id (their presentation).
 A node's importance is the entropy, over the pages that have it, of the styles of its children and of its content: what
-looks and reads alike on all pages is boilerplate. A page's branches whose role in the markup is known are kept
-(article, main) or removed (menus, footers, forms, ...) by it; other branches go if their node's importance is low.
+looks and reads alike on all pages is boilerplate. Every block is a node, and goes if its importance is low. Its role in
+the markup weighs the importance (up within article and main, down for menus, footers, forms, ...), and decides alone
+only where too few pages have the node.
 """
 
 from __future__ import annotations
@@ -19,22 +20,25 @@ from pyspark.sql import functions as F
 
 from ._common import batches, materialise, session, small
 
-LOW = 0.3  # importance below which a branch goes
+LOW = 0.3  # weighted importance below which a branch goes
 MIN_PAGES = 4  # of a host that a node must be on for its entropy to tell anything
 PRESENTATION = 0.2  # weight of the children's styles; content has the rest
+WITHIN, BESIDE, OTHER = 1.5, 0.5, 0.4  # weights of importance: in main content, beside a page's main content, of another role
 BROADCAST_NODES = 200_000
 
 # HTML elements by what they are for.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("head script style noscript template svg math iframe object canvas audio video title nav footer aside form button select textarea input menu dialog label fieldset".split())
+DROPPED = set("head script style noscript template svg math iframe object canvas audio video title button select textarea input".split())
+OTHERS = set("nav footer aside form menu dialog label fieldset".split())
 BLOCKS = set("address article aside blockquote body caption center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 MAIN = {"article", "main"}
 # Words of class, id and role values of elements that are not main text.
 ROLES = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus feedback footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget alert contentinfo complementary dialog".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z", re.S | re.I)
-_NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 @dataclass
@@ -43,6 +47,8 @@ class Element:
     path: str
     dropped: bool
     main: bool
+    role: bool  # of a known other role
+    other: bool  # in an element of a known other role, or one itself
     node: int  # its branch, or -1
     children: list = field(default_factory=list)
 
@@ -52,10 +58,12 @@ def _path_key(path: str) -> int:
 
 
 def read(page: str):
-    """(blocks, branches) of a page. A block is (text, in main, path keys of its branches); a branch, a dict from path
-    key to the styles of its children and its texts, is an element outside main content whose role is unknown."""
-    stack = [Element("", "", False, False, -1)]
-    blocks: list[tuple[str, bool, tuple[int, ...]]] = []
+    """(blocks, branches, holders) of a page. A block is (text, in main, in another role, its branches as (path key, in
+    main, of another role)); branches is a dict from path key to the styles of its children and its texts; holders are
+    the path keys of branches that have main content in them."""
+    stack = [Element("", "", False, False, False, False, -1)]
+    blocks: list[tuple[str, bool, bool, tuple[tuple[int, bool, bool], ...]]] = []
+    holders: set[int] = set()
     branches: dict[int, tuple[list, list]] = {}
     text: list[str] = []
 
@@ -64,9 +72,9 @@ def read(page: str):
         text.clear()
         top = stack[-1]
         if words and not top.dropped:
-            inside = tuple(e.node for e in stack if e.node != -1)
-            blocks.append((words, top.main, inside))
-            for node in inside:
+            inside = tuple((e.node, e.main, e.role) for e in stack if e.node != -1)
+            blocks.append((words, top.main, top.other, inside))
+            for node in {e[0] for e in inside}:
                 branches[node][1].append(words)
 
     def close(tag: str, stop=()):
@@ -110,34 +118,58 @@ def read(page: str):
         attributes = m.group(4)
         if attributes.endswith("/") and not block:
             continue
-        values = " ".join(f"{k.lower()}={a or b or c}" for k, a, b, c in _NAME.findall(attributes)) if "=" in attributes else ""
+        named = {}
+        for k, a, b, c in _ATTRIBUTE.findall(attributes):
+            named.setdefault(k.lower(), a or b or c)
+        # An id's digits tell pages apart, not styles.
+        values = " ".join(f"{k}={_DIGITS.sub('#', v) if k == 'id' else v}" for k, v in named.items() if k in ("class", "id", "role"))
         up = stack[-1]
-        main = up.main or tag in MAIN or "role=main" in values
-        role = bool(values) and not ROLES.isdisjoint(_SPLIT.split(values.lower()))
+        starts = tag in MAIN or "main" in named.get("role", "").lower().split()
+        main = up.main or starts
+        whole = tag in ("html", "body", "article", "main")
+        role = not whole and not ROLES.isdisjoint(_SPLIT.split(values.lower()))
+        role = role or tag in OTHERS or (tag == "header" and not up.main)
         hidden = " hidden" in f" {attributes.lower()} ".replace("=", " = ") or "display:none" in attributes.replace(" ", "").lower()
-        dropped = up.dropped or tag in DROPPED or (tag == "header" and not up.main) or (role and tag not in ("html", "body", "article", "main")) or hidden
+        # Elements without a node have no importance: their role decides.
+        dropped = up.dropped or tag in DROPPED or hidden or (role and not block)
         path = f"{up.path}>{tag}[{values}]" if block else up.path
         node = -1
-        if block and not main and not dropped and tag not in ("html", "body"):
+        if starts and not (dropped or up.other):
+            holders.update(e.node for e in stack)
+        if block and not dropped and tag not in ("html", "body"):
             node = _path_key(path)
             branches.setdefault(node, ([], []))
         for e in reversed(stack):
             if e.node != -1:
                 branches[e.node][0].append(f"{tag}[{values}]")
                 break
-        stack.append(Element(tag, path, dropped, main, node))
+        stack.append(Element(tag, path, dropped, main, role, up.other or role, node))
     if at < len(page):
         text.append(page[at:])
     flush()
-    return blocks, branches
+    return blocks, branches, holders
 
 
-def main_text(page: str | None, low: set[int]) -> str:
-    """The blocks of a page that stay, given the path keys of low importance of its host."""
-    blocks, _ = read(page or "")
-    if any(main for _, main, _ in blocks):
-        blocks = [b for b in blocks if b[1]]
-    return "\n\n".join(text for text, main, inside in blocks if main or low.isdisjoint(inside))
+def main_text(page: str | None, importance) -> str:
+    """The blocks of a page that stay, given the importance by path key, as a dict or pairs, of its host's nodes."""
+    blocks, _, holders = read(page or "")
+    importance = dict(importance)
+    parted = any(main and not other for _, main, other, _ in blocks)
+
+    def stays(main, inside) -> bool:
+        for node, within, role in inside:
+            known = importance.get(node)
+            if known is None:
+                if role:
+                    return False
+                continue
+            beside = parted and node not in holders and (role or not within)
+            if known * (BESIDE if beside else WITHIN if within else 1.0) * (OTHER if role else 1.0) < LOW:
+                return False
+        # Text beside the main content needs an importance of its own.
+        return main or not parted or any(e[0] in importance and e[0] not in holders for e in inside)
+
+    return "\n\n".join(text for text, main, _, inside in blocks if stays(main, inside))
 
 
 def _digest(parts: list[str]) -> int:
@@ -145,7 +177,7 @@ def _digest(parts: list[str]) -> int:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) for each node of unknown role of each host, from rows (host, html)."""
+    """(host, node, pages, importance) for each node of each host, from rows (host, html)."""
 
     def run(it):
         for batch in it:
@@ -171,8 +203,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) for each row of pages.
 
     text has the blocks that stay, in page order, joined by two line ends; within a block character references are
-    decoded and white space is one blank. A page with an article or main element has its text from there, less the parts
-    of known other roles; any other page has all that neither role nor importance removes. A null or empty html, and a
+    decoded and white space is one blank. A block stays where the importance of each branch around it, weighted by role,
+    reaches LOW. Where fewer than MIN_PAGES pages of the host have a branch its role decides, and text beside an article
+    or main element goes. A null or empty html, and a
     page without main text, give an empty text. Pages without a host in their url (null among them) share one tree.
     Repeated rows each count. Other columns are ignored. An empty table gives an empty result.
     """
@@ -180,17 +213,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     tree = style_tree(rows)
-    low = tree.filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW))
-    low = materialise(low.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low")), "styles")
-    nodes = low.agg(F.sum(F.size("low"))).first()[0] or 0
-    if nodes <= BROADCAST_NODES and small(low, BROADCAST_NODES):
-        low = F.broadcast(low)
+    known = tree.filter(F.col("pages") >= MIN_PAGES)
+    known = materialise(known.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "importance"))).alias("known")), "styles")
+    nodes = known.agg(F.sum(F.size("known"))).first()[0] or 0
+    if nodes <= BROADCAST_NODES and small(known, BROADCAST_NODES):
+        known = F.broadcast(known)
 
     def run(it):
         for batch in it:
             page, nodes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            texts = [main_text(p, set(n or ())) for p, n in zip(page, nodes, strict=True)]
+            texts = [main_text(p, ((e["node"], e["importance"]) for e in n or ())) for p, n in zip(page, nodes, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(low, "host", "left").select("page_id", "url", "html", "low")
+    joined = rows.join(known, "host", "left").select("page_id", "url", "html", "known")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -243,6 +243,15 @@ def test_html_main_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_importance_decides_beside_and_within_roles(spark):
+    page = "<html><body><div class='top'>Same</div><div class='body'><p>Long story {0} of the day</p></div><article class='teaser'><h2>Teaser {0}</h2><div class='zz'>Follow us all</div></article></body></html>"
+    form = "<form id='f'><div class='story'><p>Own {0} words</p></div><p class='low'>All alike</p></form>"
+    rows = [(i, "http://a.example/", page.format(i)) for i in range(9)] + [(20 + i, "http://b.example/", form.format(i)) for i in range(9)]
+    by = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(by[i] == f"Long story {i} of the day\n\nTeaser {i}" for i in range(9))
+    assert all(by[20 + i] == f"Own {i} words" for i in range(9))
+
+
 def test_html_articles_of_the_tables(spark, sf):
     """The pages' articles by a plain cut of the markup."""
     import re
