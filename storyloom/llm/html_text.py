@@ -37,7 +37,7 @@ ROLES = set("ad ads advert adverts advertisement advertising banner breadcrumb b
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _DIGITS = re.compile(r"[0-9]+")
 
 
@@ -127,9 +127,9 @@ def read(page: str):
         starts = tag in MAIN or "main" in named.get("role", "").lower().split()
         main = up.main or starts
         whole = tag in ("html", "body", "article", "main")
-        role = not whole and not ROLES.isdisjoint(_SPLIT.split(values.lower()))
+        role = not whole and not ROLES.isdisjoint(" ".join(named.get(k, "") for k in ("class", "id", "role")).lower().split())
         role = role or tag in OTHERS or (tag == "header" and not up.main)
-        hidden = " hidden" in f" {attributes.lower()} ".replace("=", " = ") or "display:none" in attributes.replace(" ", "").lower()
+        hidden = "hidden" in named or bool(_UNSHOWN.search(named.get("style", "")))
         # Elements without a node have no importance: their role decides.
         dropped = up.dropped or tag in DROPPED or hidden or (role and not block)
         path = f"{up.path}>{tag}[{values}]" if block else up.path

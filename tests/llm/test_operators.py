@@ -252,6 +252,13 @@ def test_html_importance_decides_beside_and_within_roles(spark):
     assert all(by[20 + i] == f"Own {i} words" for i in range(9))
 
 
+def test_html_hidden_and_class_words_are_whole():
+    for start in ("<body style='overflow: hidden'><article>", "<body><article class='post hidden-print'>", "<div class='overflow hidden'><article>", "<section class='content no-sidebar'><article>", "<div class='with-sidebar'><article>", "<div data-hidden='1' title='display:none'><article>"):
+        assert html_text.main_text(start + "<p>Text</p></article>", set()) == "Text", start
+    for start in ("<div hidden>", "<div id=a hidden='hidden'>", "<div style='color:red; display : none'>", "<div class='x sidebar'>"):
+        assert html_text.main_text(start + "<p>Text</p></div><p>Rest</p>", set()) == "Rest", start
+
+
 def test_html_articles_of_the_tables(spark, sf):
     """The pages' articles by a plain cut of the markup."""
     import re
