@@ -30,12 +30,17 @@ DUMMY_WORDS = set("example sample dummy test testing fake placeholder changeme y
 DICTIONARY = sorted(CREDENTIAL_WORDS | HARMLESS_WORDS | DUMMY_WORDS | set("the and for with that this from have are not was you all can will one out use get set new data file name user home main page view list item type value text string number config settings service server client system local remote public model table index query result error message event handler module package import class function method object array image video account login admin manager controller request response".split()), key=lambda w: (-len(w), w))
 
 _KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{30,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}|glpat-[A-Za-z0-9_\-]{16,}"
+# What a name of a credential has in it, the name's end, and a value, which ends before the next parameter of a URL.
+_NAMED = r"(?=[AaBbCcPpSsTt])(?i:password|passwd|pwd|secret|token|credentials?|bearer|authorization|(?:api|access|private|auth|signing)[_.\-]?key)"
+_ASSIGNED = r"[A-Za-z0-9_.\-]{0,32}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?"
+_VALUE = r"(?:(?!&[A-Za-z0-9_.\-]+=)[^\s\"',;]){8,}"
 _PATTERN = re.compile(
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"
+    r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:(?s:(?:(?!-----BEGIN ).)*?)-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|(?:\s*[A-Z][A-Za-z\-]*:[^\n]*\n)*[^-]*)"
     r"|(?<![A-Za-z0-9_\-])(?P<known>" + _KNOWN + r")(?![A-Za-z0-9_\-])"
-    r"|(?<![A-Za-z0-9_+/=.@\-])(?P<long>(?=[A-Za-z0-9+/_\-]*[0-9])[A-Za-z0-9+/_\-]{20,}={0,2})(?![A-Za-z0-9_+/@])"
-    r"|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<given>[^\s\"',;]{8,})"
+    r"|" + _NAMED + r"(?:" + _ASSIGNED + r"(?P<given>(?!(?i:bearer|basic|token)\b)" + _VALUE + r")|[ \t](?P<bare>(?=[^\s\"',;]*(?:[0-9!#%&*$]|[a-z][A-Z]))" + _VALUE + r"))"
+    r"|(?<![A-Za-z0-9_+/@\-])(?=[A-Za-z0-9+/_\-]{20})(?![A-Za-z0-9_\-]*" + _NAMED + _ASSIGNED + _VALUE + r")(?P<long>(?=[A-Za-z0-9+/_\-]*[0-9])[A-Za-z0-9+/_\-]{20,}={0,2})(?![A-Za-z0-9_+/@])"
 )
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -57,7 +62,7 @@ def features(secret: str, before: str, after: str, path: str) -> list[float]:
     for c in secret:
         counts[c] = counts.get(c, 0) + 1
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
-    kinds = [_kind(c) for c in secret[:4096]]
+    kinds = [_kind(c) for c in secret]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n
     repeats = sum(a == b for a, b in zip(secret, secret[1:], strict=False)) / n
     steps = sum(ord(b) - ord(a) == 1 for a, b in zip(secret, secret[1:], strict=False)) / n
@@ -67,7 +72,7 @@ def features(secret: str, before: str, after: str, path: str) -> list[float]:
         if len(w) > 2 and w in rest:
             covered += len(w) * rest.count(w)
             rest = rest.replace(w, " ")
-    near, far = _WORD.findall(before.lower()), _WORD.findall(after.lower())
+    near, far = (_WORD.findall(_CAMEL.sub(" ", t).lower()) for t in (before, after))
     last = near[-3:]
     places = set(_WORD.findall(path.lower()))
     return [
@@ -181,9 +186,47 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, s
     return out
 
 
+def labelled_keys(n: int = 300, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
+    """Rows like those of labelled_findings, of private key blocks: keys, plain or encrypted, and placeholders."""
+    rng = random.Random(seed)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    out = []
+    for i in range(n):
+        kind = rng.choice(["", "RSA ", "EC ", "DSA ", "OPENSSH ", "ENCRYPTED "])
+        head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "".join(rng.choice("0123456789ABCDEF") for _ in range(32)) + "\n\n" if rng.random() < 0.4 else ""
+        if i % 3:
+            body, label = "\n".join("".join(rng.choice(b64) for _ in range(64)) for _ in range(rng.randint(2, 50))), 1
+        else:
+            body, label = rng.choice(["...", "your key here", "EXAMPLE", "REDACTED", "<insert private key>", "xxxxxxxxxxxxxxxx\nxxxxxxxxxxxxxxxx", "placeholder"]), 0
+        end = f"\n-----END {kind}PRIVATE KEY-----" if rng.random() < 0.8 else ""
+        before = rng.choice(["", "key: ", "private_key = \"", "\n", "and here is "])
+        out.append((f"-----BEGIN {kind}PRIVATE KEY-----\n{head}{body}{end}", before, rng.choice(["", "\n", "\" ", " and"]), rng.choice(["deploy/.env", "src3", "web", ""]), label))
+    return out
+
+
+def labelled_assignments(n: int = 1200, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
+    """Rows like those of labelled_findings, of short passwords and compound names; words and placeholders for them."""
+    rng = random.Random(seed + 1)
+    hexes, b62 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    letters = "abcdefghijklmnoprstuvw"
+    names = ["password", "passwd", "pwd", "DB_PASSWORD", "db_password", "client_secret", "access_token", "AUTH_TOKEN", "secret_key", "AWS_SECRET_ACCESS_KEY", "clientSecret", "token", "PASSWORD"]
+    out = []
+    for i in range(n):
+        left, right = (" ".join(draw(letters, rng.randint(2, 9)) for _ in range(rng.randint(0, 6))) for _ in range(2))
+        join = rng.choice(["=", "=", ": ", " = ", "=\"", ": \"", "='"])
+        if i % 2:
+            value, label = rng.choice([draw(hexes, rng.randint(12, 24)), draw(b62, rng.randint(10, 40)), draw(b62 + "!#%&*$", rng.randint(9, 20))]), 1
+        else:
+            value, label = rng.choice([draw(letters, rng.randint(8, 14)), "changeme123", "your_password_here", "<password>", "${DB_PASSWORD}", "********", "required.", "os.environ[", "process.env.TOKEN", "test_password_1", "example-token-0000000", "placeholder"]), 0
+        after = ("\"" if "\"" in join else "'" if "'" in join else "") + " " + right
+        out.append((value, f"{left} {rng.choice(names)}{join}"[-REACH:], after[:REACH], rng.choice(["src/app/main.py", "deploy/.env", "src3", "src17", "web", ""]), label))
+    return out
+
+
 def fit(findings=None) -> Forest:
     """A forest from rows (secret, before, after, path, label); generated ones by default."""
-    rows = labelled_findings() if findings is None else list(findings)
+    rows = labelled_findings() + labelled_keys() + labelled_assignments() if findings is None else list(findings)
     return train(np.array([features(*r[:4]) for r in rows]), np.array([float(r[4]) for r in rows]))
 
 

@@ -288,6 +288,25 @@ def test_secrets_in_texts(spark):
     assert secrets.redact(odd_docs(spark)).count() == len(ODD_TEXTS) + 3
 
 
+def test_labelled_secrets_are_candidates_of_their_texts():
+    for secret, before, after, _, label in secrets.labelled_findings(6000, seed=5):
+        if label:
+            text = before + secret + after
+            assert (len(before), len(before) + len(secret)) in {c[:2] for c in secrets.candidates(text)}, text
+
+
+def test_common_assignments_and_whole_keys_are_found(spark):
+    value, word = "wJalrXUtnFEMIK7MDENGbPxRfiCYzq9Lk2", "hT7#kq92Lw"
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n{}\n-----END RSA PRIVATE KEY-----"
+    key = key.format("9F3A" * 8, "\n".join(value + "Ab3/+9xQ" for _ in range(12)))
+    names = ["client_secret=", "access_token=", "AUTH_TOKEN=", "secret_key=", "AWS_SECRET_ACCESS_KEY=", "https://h.example/cb?access_token=", "clientSecret: "]
+    texts = [(n + value + ("&next=/home" if "?" in n else ""), value) for n in names]
+    texts += [(f'DB_PASSWORD: "{word}"', word), (f"my_db_password={word}", word), (f"x {key} y", key)]
+    docs = spark.createDataFrame([(i, t, "deploy/.env") for i, (t, _) in enumerate(texts)], "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean == {i: t.replace(v, "[SECRET]") for i, (t, v) in enumerate(texts)}
+
+
 def test_all_planted_tokens_are_found(spark, sf):
     import re
 
