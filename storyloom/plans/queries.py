@@ -68,7 +68,7 @@ def q_token_counts(spark, sf):
 
 
 def q_shingles(spark, sf):
-    sh = tx.shingles(F.slice(F.col("words"), 1, 600), 3)
+    sh = tx.shingles(F.col("words"), 3)
     return _words(spark, sf).select("id", sh.alias("sh")).select("id", F.size(F.array_distinct("sh")).cast("long").alias("n_distinct"), F.md5(_joined("sh")).alias("shingles_md5"))
 
 

@@ -297,6 +297,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_shingles_are_of_the_whole_text(spark, tmp_path):
+    from storyloom.plans import queries
+
+    texts = [" ".join(f"w{i}" for i in range(700)) + end for end in ("", " other", " end of it")]
+    spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: r for r in queries.q_shingles(spark, str(tmp_path)).collect()}
+    assert len({r.shingles_md5 for r in got.values()}) == 3
+    words = {r.id: r.words for r in queries._words(spark, str(tmp_path)).collect()}
+    assert all(got[i].n_distinct == len({tuple(w[k : k + 3]) for k in range(len(w) - 2)}) for i, w in words.items())
+
+
 def test_entry_without_the_other_subpackage():
     import __spark_entry__ as e
 
