@@ -24,7 +24,7 @@ def op1_minhash_dedup(spark, sf_dir):
 
 
 def op2_line_dedup(spark, sf_dir):
-    return line_dedup.removals(table(spark, sf_dir, "documents"))
+    return line_dedup.whole_removals(table(spark, sf_dir, "documents"))
 
 
 def op3_packing(spark, sf_dir):

@@ -146,6 +146,32 @@ def test_line_removals_odd_rows(spark):
     assert line_dedup.removals(no_docs(spark)).count() == 0
 
 
+def test_whole_removals_find_lines_and_long_passages(spark, sf):
+    rng = np.random.default_rng(3)
+    words = lambda n: ["".join(rng.choice(list("abcdefgé"), 7)) for _ in range(n)]
+    passages = [words(n) for n in (51, 52, 60, 200)]
+    for p in passages[1:]:
+        p[20] += ","
+    texts = [" ".join(words(30) + p + words(30)) for p in passages for _ in range(2)] + ["\n".join([" ".join(words(20)), "A short line", " ".join(words(20))]) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = line_dedup.whole_removals(docs).collect()
+    cut = {r.doc_id: r.text for r in line_dedup.remove(docs, line_dedup.whole_removals(docs)).collect()}
+    for i, p in enumerate(passages):
+        gone = len(texts[2 * i + 1].split()) - len(cut[2 * i + 1].split())
+        assert cut[2 * i] == texts[2 * i] and len(p) - 2 * (line_dedup.GAP - 1) <= gone <= len(p)
+        assert not set(texts[2 * i + 1].split()[:30]) - set(cut[2 * i + 1].split())
+    assert cut[8] == texts[8] and cut[9] == texts[9].replace("A short line", "")
+    at = {r.doc_id: r.text for r in docs.collect()}
+    assert all(at[r.doc_id][r.start : r.start + r.length] == at[r.first_doc_id][r.first_start : r.first_start + r.length] for r in spans)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    old, new = (defaultdict(set) for _ in range(2))
+    for spans, places in ((line_dedup.removals(docs), old), (line_dedup.whole_removals(docs), new)):
+        for r in spans.collect():
+            assert not places[r.doc_id] & set(range(r.start, r.start + r.length))
+            places[r.doc_id] |= set(range(r.start, r.start + r.length))
+    assert all(places <= new[i] for i, places in old.items())
+
+
 def library_ids(texts):
     from tokenizers import Tokenizer
 
