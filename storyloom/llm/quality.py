@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ._common import batches, session
 
 SAMPLE = 3000  # labelled rows of each class that are learned from at most; half build a dictionary, half calibrate
-EXCERPT = 4000  # characters of a text that go into a dictionary
+EXCERPT = 4000  # characters of a text that go into a dictionary, in PIECES spread over its whole length
+PIECES = 8
 DICTIONARY = 1 << 20  # bytes of a dictionary
 CHUNK = 2048
 LEVEL = 3
@@ -68,6 +69,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def excerpt(text):
+    """The column text, or EXCERPT characters of a longer one, from PIECES places between its first and its last."""
+    n = EXCERPT // PIECES
+    starts = [F.floor((F.length(text) - n) * i / (PIECES - 1)).cast("int") + 1 for i in range(PIECES)]
+    return F.when(F.length(text) > EXCERPT, F.concat(*(F.substr(text, s, F.lit(n)) for s in starts))).otherwise(text)
+
+
+def _spread(text: bytes, n: int) -> bytes:
+    """text, or at most n bytes of a longer one, from PIECES places between its first and its last."""
+    if len(text) <= n:
+        return text
+    size = n // PIECES
+    return b"".join(text[s : s + size] for s in ((len(text) - size) * i // (PIECES - 1) for i in range(PIECES)))
+
+
+def dictionary(texts: list[bytes], most: int) -> bytes:
+    """At most `most` bytes of texts, lines of their own: as much of each as of any other that has so much."""
+    left, each = most, 0
+    for i, n in enumerate(sorted(map(len, texts))):
+        each = left // (len(texts) - i) - 1
+        if n > each:
+            break
+        left -= n + 1
+        each = n
+    return b"\n".join(_spread(t, max(each, 0)) for t in texts)[:most]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from docs (id, text) and labels (id, quality): at most SAMPLE labels a class, in the order of a hash of the
     id, so that what reaches the driver is bounded. Null ids and labels other than 0 and 1 are left out.
@@ -86,17 +114,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = sum(counts.values())
     share = (counts.get(1, 0) + 0.5) / (n + 1)
     blank = Model(b"", b"", (math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0))
-    built = texts.filter("part = 0").select("quality", F.xxhash64("__id", F.lit(11)).alias("k"), "__id", F.substring("text", 1, EXCERPT).alias("text"))
+    built = texts.filter("part = 0").select("quality", F.xxhash64("__id", F.lit(11)).alias("k"), "__id", excerpt(F.col("text")).alias("text"))
     by: dict[int, list[bytes]] = {0: [], 1: []}
     for r in sorted(built.collect(), key=lambda r: (r.k, r["__id"], r.text)):
         by[r.quality].append(r.text.encode("utf-8", "replace"))
     if min(map(len, by.values())) < 2:
         return blank
-    raw = {q: b"\n".join(t)[-DICTIONARY:] for q, t in by.items()}
-    smallest = min(len(x) for x in raw.values())  # neither dictionary is to win by its size
+    most = min(DICTIONARY, *(len(b"\n".join(t)) for t in by.values()))  # neither dictionary is to win by its size
+    raw = {q: dictionary(t, most) for q, t in by.items()}
+    smallest = min(len(x) for x in raw.values())
     if not smallest:
         return blank
-    model = Model(raw[1][-smallest:], raw[0][-smallest:], ())
+    model = Model(raw[1][:smallest], raw[0][:smallest], ())
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")

@@ -439,6 +439,18 @@ def test_quality_on_held_out_rows(spark):
     assert (scores[0][:, None] > scores[1][None]).mean() > 0.97
 
 
+def test_quality_dictionaries_have_all_of_the_length_of_all_texts(spark):
+    long = "".join(chr(97 + i // 3000) for i in range(26 * 3000))
+    docs = spark.createDataFrame([(1, long), (2, "é" * 10), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.t for r in docs.select("doc_id", quality.excerpt(F.col("text")).alias("t")).collect()}
+    assert len(got[1]) == quality.EXCERPT and got[1][0] == "a" and got[1][-1] == "z" and len(set(got[1])) > 6
+    assert got[2] == "é" * 10 and got[3] is None
+    texts = [bytes([65 + i]) * n for i, n in enumerate((4000, 3, 4000, 900, 2000))]
+    joined = quality.dictionary(texts, 2000)
+    assert 1900 < len(joined) <= 2000 and {t[:1] for t in texts} <= {joined[i : i + 1] for i in range(len(joined))}
+    assert quality.dictionary(texts, 99_999) == b"\n".join(texts)
+
+
 def test_quality_odd_rows(spark):
     labelled = spark.createDataFrame([(i, "good words here %d" % i if i % 2 else "BAD!! $$$ %d" % i, i % 2) for i in range(60)] + [(None, "x", 1), (70, None, 1), (71, "y", None)], "doc_id long, text string, quality int")
     model = quality.fit(labelled.drop("quality"), labelled.drop("text"))
