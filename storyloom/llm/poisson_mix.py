@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import SEED, materialise, small, unit_hash
 
@@ -51,7 +52,7 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, total: float | None =
     targets has rows (source, weight); without it all sources weigh the same. Weights are shares of characters; total
     is the characters to aim at, the corpus's own without it. A null source is a source. Null and empty texts have
     size 0 and follow their source's rate; a source of nothing but such, and one without a weight, has rate 0. Rows
-    that share an id get the same count. All columns are kept; ones named copy or copies are replaced. An empty table
+    that share an id get the same count; rows without one draw each on its own. All columns are kept; ones named copy or copies are replaced. An empty table
     gives an empty result. The same seed gives the same result on any number of executors.
     """
     kept = [c for c in docs.columns if c not in ("copy", "copies")]
@@ -63,7 +64,13 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, total: float | None =
     if small(table, BROADCAST_SOURCES):
         table = F.broadcast(table)
     placed = docs.join(table, F.col(source).eqNullSafe(F.col("__source")))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    # Rows without an id are told apart by what is in them, and equal ones by their number.
+    named, unnamed = placed.filter(F.col(id_col).isNotNull()), placed.filter(F.col(id_col).isNull())
+    unnamed = unnamed.withColumn("__key", F.md5(F.to_json(F.struct(*kept))))
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    unnamed = unnamed.withColumn("__key", F.concat_ws("#", F.lit(""), "__key", nth.cast("string")))
+    placed = named.withColumn("__key", F.col(id_col).cast("string")).unionByName(unnamed)
+    key = F.col("__key")
     draw = lambda j: unit_hash(key, j.cast("string"), seed=seed)
     one = lambda j: F.size(F.filter("__cdf", lambda c: c <= draw(j)))
     # The usual single draw needs the hash once, not once for each entry.

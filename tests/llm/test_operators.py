@@ -428,6 +428,13 @@ def test_words_that_every_match_needs():
         assert len(left) < 0.8 * len(set(t))
 
 
+def test_rows_without_an_id_draw_on_their_own(spark):
+    docs = spark.createDataFrame([(None, f"text {i % 300:04d}", "s") for i in range(600)], "doc_id long, text string, source string")
+    got = poisson_mix.mix(docs).collect()
+    assert 500 < len(got) < 700 and len({r.copies for r in got}) > 2
+    assert len(got) == poisson_mix.mix(docs.repartition(7)).count()
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = queries.op8_quality(spark, "/root/testdata/sf0.1")
