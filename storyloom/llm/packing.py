@@ -9,6 +9,8 @@ a task's share of the rows; only its last sequence can have padding, so the padd
 from __future__ import annotations
 
 import heapq
+import json
+import os
 import re
 import zlib
 from array import array
@@ -24,39 +26,71 @@ from ._common import batches, session
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SHARD = 1 << 24  # documents' remainders that are packed together at most
 
-# The pre-tokeniser's pattern for texts of Latin letters; any other text goes to the library whole.
+# The byte-level pre-tokeniser's pattern for texts of Latin letters; any other text goes to the library whole.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ʯ]+| ?[0-9²³¹¼-¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ʯ0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\t\n\r -~¡-ʯ‘-”–—…€]*")
-_MEMO = 400_000
+_MEMO = 400_000  # pieces of a generation that a worker remembers; it holds two generations
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes for themselves, the others
+    for the letters from U+0100 on, in order."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids by a tokenizers file; words seen before are looked up."""
+    """Texts to little-endian unsigned 32-bit ids, as a tokenizers file gives them with add_special_tokens=False.
 
-    def __init__(self, path: str):
-        import os
+    Where the file describes a plain byte-level BPE, texts of Latin letters are cut into its pieces here. A piece that was
+    seen before is looked up; any other goes to the library's model. Pieces are forgotten a generation at a time, so that
+    the usual ones stay. All other texts, and ones that hold a token added to the vocabulary, go to the library whole.
+    """
 
+    def __init__(self, path: str, memo: int = _MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        about = json.loads(self.library.to_str())
+        pre, model = about["pre_tokenizer"] or {}, about["model"]
+        self.by_piece = (
+            about["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+            and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        )
+        self.added = tuple(t["content"] for t in about["added_tokens"])
+        self.letters = _byte_letters()
+        self.most = memo
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        tokens = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in tokens]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text):
-            return self._ids([text])[0]
-        pieces = _PIECES.findall(text)
-        new = list({p for p in pieces if p not in self.memo})
-        if new:
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-                new = list(set(pieces))
-            self.memo.update(zip(new, self._ids(new), strict=True))
-        return b"".join(map(self.memo.__getitem__, pieces))
+        if not self.by_piece or not _PLAIN.fullmatch(text) or any(t in text for t in self.added):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        pieces, young = _PIECES.findall(text), self.young
+        out = list(map(young.get, pieces))
+        for i in [i for i, x in enumerate(out) if x is None]:
+            piece = pieces[i]
+            ids = young.get(piece) or self.old.get(piece)
+            out[i] = young[piece] = ids or self._piece(piece)
+        return b"".join(out)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a file: made once, as workers run many tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def cost(n: int) -> float:
@@ -112,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, id_col: str = "d
     def run(it):
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer)
+        tool = encoder(tokenizer)
         base = TaskContext.get().partitionId() << 40
         sequences = 0
         rest: list[tuple] = []
@@ -140,7 +174,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, id_col: str = "d
 
         for batch in it:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + b"\0\0\0\0"
+                ids = tool.encode(text or "") + b"\0\0\0\0"
                 total, whole = len(ids) // 4, len(ids) // step * step
                 for i in range(0, whole, step):
                     part = ids[i : i + step]

@@ -176,7 +176,6 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -215,6 +214,15 @@ def test_packing_round_trip(spark, sf):
     assert n == -(-used // 1024)
 
 
+def test_packing_pads_less_than_a_sequence_a_task(spark, sf, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 1 << 14)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(5, "doc_id")
+    rows = packing.pack(docs, queries.tokenizer_path(), with_ids=False).collect()
+    n, used = check_packing([(r.doc_id, r.text) for r in docs.collect()], rows)
+    tasks = {r.sequence_id >> 40 for r in rows}
+    assert len(tasks) == 5 and n < used / 1024 + 5 + docs.count() / (packing.SHARD // 1024)
+
+
 def test_packing_odd_rows(spark):
     texts = [*ODD_TEXTS, "naïve café — “quoted” it's 3² ½ don't!!  \n\n x", "日本語 текст ñ b\x1c c", "<|endoftext|> it", "a b ́c"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -227,9 +235,23 @@ def test_encoder_agrees_with_the_library():
     chars = [chr(c) for c in range(1, 0x250) if c != 0xAD] + list("–—‘’“”…€ \n\t ") * 5
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(chars, rng.integers(1, 60))) for _ in range(3000)]
-    texts += ["it's we'll I'D 'S", "a  b   c \n\n d", "   x", "1²3 ½ ª º"]
-    e = packing.Encoder(queries.tokenizer_path())
-    assert [np.frombuffer(e.encode(t), "<u4").tolist() for t in texts] == library_ids(texts)
+    texts += ["it's we'll I'D 'S", "a  b   c \n\n d", "   x", "1²3 ½ ª º", "<|endoftext|> it", "so<|endoftext|>", "<|endoftext| >"]
+    e = packing.Encoder(queries.tokenizer_path(), memo=500)
+    assert e.by_piece and library_ids(["<|endoftext|> it"]) == [[50256, 340]]
+    for _ in range(2):  # anew, and from what is remembered
+        assert [np.frombuffer(e.encode(t), "<u4").tolist() for t in texts] == library_ids(texts)
+    assert 0 < len(e.young) < 1000 and 0 < len(e.old) < 1000
+
+
+def test_encoder_of_another_kind_of_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, t = packing.Encoder(path), Tokenizer.from_file(path)
+    for text in ("It's HERE, now", "naïve  café <|endoftext|>", ""):
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert not e.by_piece
 
 
 def test_balance_evens_out_costs():
