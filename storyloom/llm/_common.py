@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -17,37 +17,57 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small, as single texts may be megabytes long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches, rows: int = 256):
+    """Arrow batches cut into ones of `rows` rows at most, so that what Python makes of one stays small. Spark bounds the
+    bytes of a batch itself."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where the session names none."""
+    """A folder of this application under spark.checkpoint.dir, which all executors see.
+
+    Only where the driver's own process runs the tasks, as in tests, may the setting be missing: then it is a folder of
+    this machine. On a cluster its absence is an error, as tables would end up where other machines don't find them.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = os.path.join(tempfile.gettempdir(), f"storyloom-{os.getpid()}")
-    return named.rstrip("/")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.gettempdir()
+    return f"{named.rstrip('/')}/storyloom-{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here and survives lost executors."""
+    """Write df as a table in the shared folder and read it back: lineage ends here and survives lost executors.
+
+    Tables that a lazy result still reads stay until sweep(); all others are deleted by discard().
+    """
     spark = session(df)
-    path = f"{shared_dir(spark)}/storyloom-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._storyloom_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote for its operators. Their lazy results can't be read any more."""
+    _delete(spark, shared_dir(spark))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialise() wrote and nothing reads any more."""
     for df in tables:
         path = getattr(df, "_storyloom_path", None)
         if path:
-            jvm = session(df)._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(session(df)._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            _delete(session(df), path)
 
 
 def small(df: DataFrame, most_rows: int) -> bool:
@@ -88,18 +108,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """One 64-bit hash for each word of UTF-8 text: a polynomial over its bytes, scrambled."""
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word of UTF-8 text: 64 bits, a polynomial over its bytes, scrambled; offsets in bytes."""
     raw = np.frombuffer(text, dtype=np.uint8)
-    if not len(raw):
-        return np.empty(0, dtype=np.uint64)
     inside = np.concatenate(([False], ~_SPACE[raw], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), starts, ends
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[raw] * _power("up", len(raw)), dtype=np.uint64)))
-    return mix((sums[ends] - sums[starts]) * _power("down", len(raw))[starts])
+    return mix((sums[ends] - sums[starts]) * _power("down", len(raw))[starts]), starts, ends
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """One 64-bit hash for each word of UTF-8 text."""
+    return words_of(text)[0]
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import batches, session
+from ._common import slices
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SHARD = 1 << 24  # documents' remainders that are packed together at most
@@ -172,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, id_col: str = "d
             sequences += len(offsets)
             rest.clear()
 
-        for batch in it:
+        for batch in slices(it):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = tool.encode(text or "") + b"\0\0\0\0"
                 total, whole = len(ids) // 4, len(ids) // step * step
@@ -190,6 +190,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, id_col: str = "d
         if rows:
             yield flush()
 
-    batches(session(docs))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, _OUT)

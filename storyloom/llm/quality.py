@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import batches, session
+from ._common import session
 
 SAMPLE = 3000  # labelled rows of each class that are learned from at most; half build a dictionary, half calibrate
 EXCERPT = 4000  # characters of a text that go into a dictionary, in PIECES spread over its whole length
@@ -135,7 +135,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         tools = _tools(shared.value)
         return pd.Series([features(t.encode("utf-8", "replace"), tools) for t in texts], dtype=object)
 
-    batches(spark)
     held = texts.filter("part = 1").select("quality", measured("text").alias("x")).collect()  # SAMPLE rows of five numbers
     if len({r.quality for r in held}) < 2:
         return blank
@@ -152,7 +151,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     Every whole text is scored. Null and empty texts get the score of a text without content, which the calibration
     gives. All columns are kept; one named like `out` is replaced.
     """
-    batches(session(docs))
     shared = session(docs).sparkContext.broadcast(model)  # bounded: two dictionaries of DICTIONARY bytes
 
     @F.pandas_udf("double")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SEED, batches, session
+from ._common import SEED, session, slices
 
 THRESHOLD = 0.5
 TREES, DEPTH, LEAF = 40, 9, 3
@@ -241,7 +241,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRES
 
     def run(it):
         model = shared.value
-        for batch in it:
+        for batch in slices(it):
             ids, texts, paths = (batch.column(i).to_pylist() for i in range(3))
             rows, x = [], []
             for key, text, path in zip(ids, texts, paths, strict=True):
@@ -253,7 +253,6 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRES
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(score), pa.array(score >= threshold)], names=["doc_id", "start", "length", "kind", "score", "is_secret"])
 
-    batches(session(docs))
     path = F.col(path_col).cast("string") if path_col else F.lit("")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), path.alias("path"))
     return src.mapInArrow(run, "doc_id long, start long, length long, kind string, score double, is_secret boolean")
@@ -281,6 +280,5 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THR
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    batches(session(docs))
     path = F.col(path_col).cast("string") if path_col else F.lit("")
     return docs.withColumn(text_col, clean(F.col(text_col).cast("string"), path))
