@@ -20,11 +20,14 @@ def tokenizer_path() -> str:
 
 
 def op1_minhash_dedup(spark, sf_dir):
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80).drop("row", "first")
+
+
+PASSAGE = 40  # words from which a repeat is a passage; shorter lines recur by chance
 
 
 def op2_line_dedup(spark, sf_dir):
-    return line_dedup.whole_removals(table(spark, sf_dir, "documents"))
+    return line_dedup.removals(table(spark, sf_dir, "documents")).filter(F.col("words") >= PASSAGE).drop("row")
 
 
 def op3_packing(spark, sf_dir):

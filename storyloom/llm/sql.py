@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup
+from . import licenses
 from ._common import SEED
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,17 +26,6 @@ z AS (SELECT doc_id, n, CASE WHEN n = 0 THEN doc_id ELSE coalesce(c, rep) END AS
 SELECT doc_id, n AS n_shingles, component AS component_id, doc_id = component AS kept FROM z"""
 
 
-def line_removals(min_run: int) -> str:
-    return rf"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?,;:|]) ', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, unnest(l) AS u, generate_subscripts(l, 1) AS i FROM l),
-p AS (SELECT doc_id, i, length(u) AS length, coalesce(sum(length(u) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, list_filter(regexp_split_to_array(u, '\s+'), lambda x: x <> '') AS w FROM u),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS no, {_low("array_to_string(w, ' ')")} AS k FROM p WHERE len(w) > 0),
-f AS (SELECT *, first_value(doc_id) OVER g AS first_doc_id, first_value(start) OVER g AS first_start, row_number() OVER g AS r FROM k WINDOW g AS (PARTITION BY k ORDER BY doc_id, start)),
-n AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS run FROM f WHERE r > 1),
-z AS (SELECT *, (sum(len(w)) OVER (PARTITION BY doc_id, run))::BIGINT AS run_words FROM n)
-SELECT doc_id, start, length, len(w)::INT AS words, run_words, first_doc_id, first_start FROM z WHERE run_words >= {min_run}"""
-
-
 def near_vectors(threshold: float) -> str:
     return f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {threshold}),
@@ -76,7 +65,6 @@ SELECT query_id, (row_number() OVER g)::INT AS rank, vec_id, score FROM p WINDOW
 
 ORACLE_SQL = {
     "op1_minhash_dedup": near_duplicates(2, 80),
-    "op2_line_dedup": line_removals(line_dedup.MIN_RUN),
     "op6_embedding_dedup": near_vectors(0.93),
     "op7_licenses": find_licenses(licenses.CONTAINMENT),
     "op9_poisson_mix": poisson_mix(),
