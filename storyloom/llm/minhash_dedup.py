@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SEED, batches, components, discard, materialise, mix, session, shingle_set, small
+from ._common import SEED, components, discard, materialise, mix, shingle_set, slices, small
 
 ROWS = 6
 BANDS = 48  # at a similarity of 0.8 a pair misses all bands with probability 5e-7
@@ -74,11 +74,12 @@ def differing_bits(similarity: float, samples: int = BANDS * ROWS, bits: int = B
 
 
 def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, digest, bands, odd) for each row: size and digest of its shingle set, band keys and odd sketch."""
+    """(id, row, n, digest, bands, odd) for each row: a hash of its text, size and digest of its shingle set, band keys and
+    odd sketch."""
 
     def run(it):
-        for batch in it:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
+        for batch in slices(it):
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
             n, digest, bands, odd = [], [], [], []
             for t in texts:
                 s = shingle_set(t, words)
@@ -91,11 +92,15 @@ def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
                 else:
                     bands.append([])
                     odd.append([])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["id", "n", "digest", "bands", "odd"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["id", "row", "n", "digest", "bands", "odd"])
+
+    return _marked(docs, id_col, text_col).mapInArrow(run, "id long, row long, n long, digest binary, bands array<long>, odd array<long>")
+
 
-    batches(session(docs))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n long, digest binary, bands array<long>, odd array<long>")
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, text): rows that share an id are told apart by a hash of the text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def _may_match(threshold: float, a: str = "a", b: str = "b") -> Column:
@@ -110,7 +115,7 @@ def _fine_sketches(texts: DataFrame, words: int) -> DataFrame:
     """(node, fine) for rows (node, text)."""
 
     def run(it):
-        for batch in it:
+        for batch in slices(it):
             nodes, fine = [], []
             for node, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 s = shingle_set(t, words)
@@ -123,10 +128,9 @@ def _fine_sketches(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """Rows (key, band, node, component) of buckets as (key, i, j, block, ...): a bucket of many blocks is dealt into pairs
-    of blocks, so that a task holds two blocks of BLOCK rows at most."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    dealt = rows.join(sizes, "key").withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
+    """Rows (key, m, band, node, component) of buckets of m rows as (key, i, j, block, ...): a bucket of many blocks is
+    dealt into pairs of blocks, so that a task holds two blocks of BLOCK rows at most."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     return dealt.withColumn("tile", F.explode(pairs)).select("key", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "block", "band", "node", "component")
@@ -195,13 +199,20 @@ def _likely(tiles: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return full.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of texts whose node is among ids (node); ids is read more than once."""
-    return texts.join(F.broadcast(ids) if small(ids, BROADCAST_IDS) else ids, "node", "left_semi")
+def _texts_of(ids: DataFrame, nodes: DataFrame, texts: DataFrame, own: bool) -> DataFrame:
+    """(node, text) of the nodes among ids (node), from texts (id, row, text); ids is read more than once. own says that
+    no two rows share an id."""
+    wanted = nodes.join(ids, "node", "left_semi").select("node", F.col("id").alias("i"), F.col("row").alias("r"))
+    wanted = F.broadcast(wanted) if small(ids, BROADCAST_IDS) else wanted
+    if own:
+        return texts.join(wanted, F.col("id") == F.col("i")).select("node", "text")
+    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r"))).select("node", "text")
+    return found.dropDuplicates(["node"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose full shingle sets have 100 * |intersection| >= percent * |union|."""
+def _confirmed(pairs: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) of nodes whose full shingle sets have 100 * |intersection| >= percent * |union|; texts_of gives
+    the texts (node, text) of nodes (node)."""
 
     def run(it):
         kept: dict[bytes, np.ndarray] = {}
@@ -213,7 +224,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
                 kept[t] = shingle_set(t, words)
             return kept[t]
 
-        for batch in it:
+        for batch in slices(it):
             ta, tb = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
             good = []
             for x, y in zip(ta, tb, strict=True):
@@ -225,7 +236,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
     pairs = materialise(pairs, "pairs")
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
-    texts = _texts_of(ids, texts)
+    texts = texts_of(ids)
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
@@ -235,36 +246,43 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs.
+    """(doc_id, n_shingles, component_id, kept, row, first) for each row of docs.
 
     Rows whose sets of `words`-word shingles have a Jaccard similarity of at least percent / 100 are linked;
     component_id is the smallest id reachable over links, kept says whether a row has that id itself.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing. Rows that share an id
-    are compared each by its own text. A row with a null id takes part by its text; alone, it has a null component_id
-    and is kept. Other columns are ignored. An empty table gives an empty result.
+    are compared and placed each by its own text; `row`, a hash of the text, tells them apart. A row with a null id takes
+    part by its text; where no row of a component has an id, component_id is null and all are kept. `first` is true for one
+    text of each component, that of the smallest id, then of the smallest `row`; null ids come last. Other columns are
+    ignored. An empty table gives an empty result.
     """
     threshold = percent / 100
+    texts = _marked(docs, id_col, text_col)
+    own = texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").isEmpty()
     all_rows = materialise(sketches(docs, words, id_col, text_col), "sketches")
-    groups = all_rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    whole = all_rows.alias("r").join(groups.filter("node is not null").alias("g"), (F.col("r.digest") == F.col("g.digest")) & (F.col("r.id") == F.col("g.node")))
-    nodes = materialise(whole.select("g.node", "r.n", "r.bands", "r.odd").dropDuplicates(["node", "n", "odd"]), "nodes")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    sets = all_rows.filter("n > 0").groupBy("digest").agg(F.min(rank).alias("least"), F.first(F.struct("n", "bands", "odd")).alias("s"))
+    # A number for each distinct set stands for it in links.
+    nodes = materialise(sets.select(F.monotonically_increasing_id().alias("node"), "digest", "least.*", "s.*"), "nodes")
 
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = materialise(banded.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "centre"), "buckets")
     members = materialise(banded.join(buckets, "key"), "members")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return _texts_of(ids, nodes, texts, own)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The links among distinct pairs (a, b) of nodes."""
         x, y = (nodes.select(F.col("node").alias(c), F.struct("n", "odd").alias(f"s{c}")) for c in "ab")
         likely = pairs.join(x, "a").join(y, "b").filter(_may_match(threshold, "sa", "sb")).select("a", "b")
-        return _confirmed(likely, texts, words, percent)
+        return _confirmed(likely, texts_of, words, percent)
 
     def still_open(place: DataFrame) -> DataFrame:
-        """Members, with their components, of buckets that hold more than one component."""
+        """Members, with their components, of buckets that hold more than one component, and the buckets' sizes."""
         placed = members.join(place, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m")
         return materialise(placed.select("key", "band", "node", "component").join(keys, "key"), "open")
 
     def joined(place: DataFrame, links: DataFrame) -> DataFrame:
@@ -282,15 +300,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     rows = still_open(place)
     wanted = materialise(rows.select("node").distinct(), "ids")
-    fine = materialise(_fine_sketches(_texts_of(wanted, texts), words), "fine")
+    fine = materialise(_fine_sketches(texts_of(wanted), words), "fine")
     # Half of a band's key tells shared bands well enough: a wrong match has a probability of 1e-8.
     slim = nodes.select("node", "n", F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("bands"), "odd")
     likely = _likely(_tiles(rows), slim.join(fine, "node"), threshold)
-    links = _confirmed(likely, texts, words, percent)
-    final = joined(place, links)
-    discard(links, rows, members, buckets, nodes, fine, wanted)
-
-    placed = groups.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = all_rows.filter("n > 0").join(placed, "digest").select("id", "n", "component")
-    out = out.unionByName(all_rows.filter("n = 0").select("id", "n", F.col("id").alias("component")))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull()).alias("kept"))
+    links = _confirmed(likely, texts_of, words, percent)
+    place = joined(place, links)
+
+    placed = nodes.select("node", "digest", F.struct("none", "id", "row").alias("least")).join(place, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = placed.groupBy("component").agg(F.min("least").alias("best"))
+    placed = materialise(placed.join(best, "component").select("digest", "best"), "placed")
+    discard(links, rows, members, buckets, nodes, fine, wanted, place)
+    out = all_rows.filter("n > 0").join(placed, "digest").select("id", "row", "n", F.col("best.id").alias("component"), (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("row") == F.col("best.row"))).alias("first"))
+    out = out.unionByName(all_rows.filter("n = 0").select("id", "row", "n", F.col("id").alias("component"), F.lit(True).alias("first")))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull()).alias("kept"), "row", "first")
