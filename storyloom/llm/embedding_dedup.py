@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SEED, batches, components, discard, materialise, mix, session
+from ._common import SEED, components, discard, materialise, mix, slices
 
 TABLES = 80  # at a cosine of 0.93 a pair shares a bucket with probability 0.99, at 0.95 with 0.9997
 HASHES = 10
@@ -39,12 +39,12 @@ def bucket_keys(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, wi
 
 def _read(it):
     """Rows of (id, label, vector) to ones with the vector's bytes and its buckets; unusable vectors have neither."""
-    for batch in it:
+    for batch in slices(it, 2048):
         ids, labels, vectors = (batch.column(i) for i in range(3))
         raw, keys = [None] * len(ids), [None] * len(ids)
         by_size: dict[int, list] = {}
-        for i, (label, v) in enumerate(zip(labels.to_pylist(), vectors.to_pylist(), strict=True)):
-            if label is None or not v or any(x is None for x in v):
+        for i, (usable, v) in enumerate(zip(labels.is_valid().to_pylist(), vectors.to_pylist(), strict=True)):
+            if not usable or not v or any(x is None for x in v):
                 continue
             x = np.asarray(v, dtype=np.float64)
             if np.isfinite(x).all() and x.any():
@@ -137,14 +137,13 @@ def _compare(threshold: float):
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row.
 
-    Rows with equal labels are linked where the cosine of their vectors, in double precision, is at least threshold.
+    Rows with labels that are equal, in their own type, are linked where the cosine of their vectors, in double precision, is at least threshold.
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows without a label, link with
     nothing; vectors of different lengths don't link. Copies count as links of each other. Rows that share an id count
     as different rows. A null id takes part by its vector. An empty table gives an empty result.
     """
-    batches(session(vectors), 2048)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    read = materialise(rows.mapInArrow(_read, "id long, label long, unit binary, keys array<long>"), "vectors")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    read = materialise(rows.mapInArrow(_read, f"id long, label {rows.schema['label'].dataType.simpleString()}, unit binary, keys array<long>"), "vectors")
     usable = read.filter("unit is not null")
     distinct = usable.groupBy("label", "unit").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
     # A dense number for each distinct vector stands for it in links, as ids may be null or repeated.

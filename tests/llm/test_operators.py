@@ -4,7 +4,7 @@ import html
 import itertools
 import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -83,6 +83,15 @@ def test_near_duplicates_join_across_stars(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    a, b = ("a b c d e f g h i j k l", "q w e r t y u i o p l k j h g f d s a z x c v b n m")
+    rows = [(5, a), (5, b), (2, b + " end"), (7, a.upper()), (None, a), (None, "solo text"), (None, "solo text"), (9, b), (9, b)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    have = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept, r.first) for r in got), key=str)
+    want = [(5, 11, 5, True, True), (5, 25, 2, False, False), (2, 26, 2, True, True), (7, 11, 5, False, False), (None, 11, 5, False, False), (None, 1, None, True, True), (None, 1, None, True, True), (9, 25, 2, False, False), (9, 25, 2, False, False)]
+    assert have == sorted(want, key=str)
+
+
 def test_near_duplicates_odd_rows(spark):
     got = minhash_dedup.near_duplicates(odd_docs(spark), 5).collect()
     assert len(got) == len(ODD_TEXTS) + 3
@@ -109,44 +118,92 @@ def test_odd_sketch_estimates_high_similarities():
         assert abs(np.mean(errors)) < 12
 
 
+def repeats_brute_force(rows, window=40, gap=12):
+    """Spans (row, start, length, words, first row) by comparing units as texts; rows are texts in order of rank. Which
+    windows are compared is told by winnowed(); what is equal, by the words."""
+    import re
+
+    firsts, cut = {}, []
+    for k, text in enumerate(rows):
+        words = [(m.start(), m.end(), m[0].encode().lower()) for m in re.finditer(r"[^\x20\x09-\x0d]+", text or "")]
+        of = defaultdict(list)
+        for i, (s, *_) in enumerate(words):
+            of[text.count("\n", 0, s)].append(i)
+        mine = [(ws[0], len(ws), "line") for ws in of.values()]
+        if len(words) >= window + gap - 1:
+            raw = line_dedup.words_of(text.encode().lower())[0]
+            every = np.arange(len(words) - window + 1)
+            h = line_dedup._sums(raw, line_dedup._BASES[0])(every, np.full(len(every), window))
+            mine += [(int(i), window, "window") for i in range(len(h)) if any(h[i] == h[j : j + gap].min() for j in range(max(0, i - gap + 1), min(i, len(h) - gap) + 1))]
+        covered = {}
+        for at, n, kind in sorted(mine):
+            key = kind, *(w[2] for w in words[at : at + n])
+            row, place = firsts.setdefault(key, (k, at))
+            if row != k or at >= place + n:
+                for i in range(at, at + n):
+                    covered.setdefault(i, []).append((at, row))
+        ends = {at + n for at, n, kind in mine}
+        at = 0
+        while at < len(words):
+            if at not in covered:
+                at += 1
+                continue
+            stop = at
+            while stop < len(words) and stop in covered:
+                stop += 1
+            cut.append((k, words[at][0], words[stop - 1][1] - words[at][0], stop - at, min(covered[at])[1]))
+            at = stop
+    return cut
+
+
 def test_line_removals_match_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    seen, want = {}, set()
-    for r in docs.orderBy("doc_id").collect():
-        cut, at, mine = "".join("\n" if c == " " and i and r.text[i - 1] in ".!?,;:|" else c for i, c in enumerate(r.text)), 0, []
-        for unit in cut.split("\n"):
-            w = unit.encode().split()
-            if w:
-                key = b" ".join(w).lower()
-                mine.append((r.doc_id, at, len(unit), len(w), *seen.get(key, (None, None))))
-                seen.setdefault(key, (r.doc_id, at))
-            at += len(unit) + 1
-        for repeated, run in itertools.groupby(mine, key=lambda u: u[4] is not None):
-            run = list(run)
-            n = sum(u[3] for u in run)
-            if repeated and n >= line_dedup.MIN_RUN:
-                want |= {(*u[:4], n, *u[4:]) for u in run}
+    rows = docs.orderBy("doc_id").collect()
+    want = {(rows[k].doc_id, s, n, w, rows[f].doc_id) for k, s, n, w, f in repeats_brute_force([r.text for r in rows])}
     spans = line_dedup.removals(docs)
-    assert {tuple(r) for r in spans.collect()} == want and want
-    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {tuple(r) for r in spans.drop("row").collect()} == want and want
     cut = defaultdict(list)
     for doc, start, length, *_ in want:
         cut[doc].append((start, length))
+    texts = {r.doc_id: r.text for r in rows}
     for r in line_dedup.remove(docs, spans).collect():
         text = texts[r.doc_id]
         for start, length in sorted(cut[r.doc_id], reverse=True):
             text = text[:start] + text[start + length :]
         assert r.text == text
+    got = queries.op2_line_dedup(spark, sf).collect()
+    assert {tuple(r) for r in got} == {w for w in want if w[3] >= queries.PASSAGE}
 
 
 def test_line_removals_odd_rows(spark):
-    got = {tuple(r)[:2] + (r.first_doc_id,) for r in line_dedup.removals(odd_docs(spark), 10).collect()}
-    assert got == {(5, 0, 5), (6, 0, 5), (7, 0, 5), (None, 0, 5)} and line_dedup.removals(odd_docs(spark)).count() == 0
-    assert line_dedup.remove(odd_docs(spark), line_dedup.removals(odd_docs(spark), 10)).count() == len(ODD_TEXTS) + 3
+    spans = line_dedup.removals(odd_docs(spark).withColumn("words", F.lit(1)).withColumn("rank", F.lit("x")))
+    got = sorted(((r.doc_id, r.start, r.length, r.first_doc_id) for r in spans.collect()), key=str)
+    whole = len(ODD_TEXTS[5])
+    assert [g for g in got if g[0] != 10] == sorted([(6, 0, whole, 5), (7, 0, whole, 5), (None, 0, whole, 5)], key=str)
+    assert [g[0] for g in got].count(10) == 1  # the long repetitive text repeats itself
+    out = line_dedup.remove(odd_docs(spark).withColumn("removed", F.lit(1)), spans).collect()
+    assert len(out) == len(ODD_TEXTS) + 3 and all(r.text == "" for r in out if r.doc_id in (6, 7))
+    assert all(r.text == ODD_TEXTS[5] for r in out if r.doc_id == 5)
     assert line_dedup.removals(no_docs(spark)).count() == 0
 
 
-def test_whole_removals_find_lines_and_long_passages(spark, sf):
+def test_line_removals_of_rows_that_share_an_id(spark):
+    """Isolated repeats don't become one run, whatever ids they share."""
+    rng = np.random.default_rng(6)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefg"), 7)) for _ in range(n))
+    shared = [words(10) for _ in range(6)]
+    base = "\n".join(shared)
+    for key in (9, None):
+        rows = [(1, base)] + [(key, f"{words(10)}\n{s}\n{words(10)}") for s in shared]
+        got = line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.words, r.first_doc_id) for r in got) == [(key, 10, 1)] * 6
+    rows = [(3, "one two three four"), (3, "one two three four"), (3, "five\none two three four"), (None, "five"), (2, "x\nfive\nx")]
+    got = line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # Equal rows are one document; the two texts of id 3 are ranked by a hash.
+    assert sorted(((r.doc_id, r.start, r.length, r.first_doc_id) for r in got), key=str) == sorted([(None, 0, 4, 2), (2, 7, 1, 2), (3, 0, 23, 2)], key=str)
+
+
+def test_line_removals_find_lines_and_long_passages(spark):
     rng = np.random.default_rng(3)
     words = lambda n: ["".join(rng.choice(list("abcdefgé"), 7)) for _ in range(n)]
     passages = [words(n) for n in (51, 52, 60, 200)]
@@ -154,22 +211,13 @@ def test_whole_removals_find_lines_and_long_passages(spark, sf):
         p[20] += ","
     texts = [" ".join(words(30) + p + words(30)) for p in passages for _ in range(2)] + ["\n".join([" ".join(words(20)), "A short line", " ".join(words(20))]) for _ in range(2)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    spans = line_dedup.whole_removals(docs).collect()
-    cut = {r.doc_id: r.text for r in line_dedup.remove(docs, line_dedup.whole_removals(docs)).collect()}
+    spans = line_dedup.removals(docs)
+    cut = {r.doc_id: r.text for r in line_dedup.remove(docs, spans).collect()}
     for i, p in enumerate(passages):
         gone = len(texts[2 * i + 1].split()) - len(cut[2 * i + 1].split())
         assert cut[2 * i] == texts[2 * i] and len(p) - 2 * (line_dedup.GAP - 1) <= gone <= len(p)
         assert not set(texts[2 * i + 1].split()[:30]) - set(cut[2 * i + 1].split())
     assert cut[8] == texts[8] and cut[9] == texts[9].replace("A short line", "")
-    at = {r.doc_id: r.text for r in docs.collect()}
-    assert all(at[r.doc_id][r.start : r.start + r.length] == at[r.first_doc_id][r.first_start : r.first_start + r.length] for r in spans)
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    old, new = (defaultdict(set) for _ in range(2))
-    for spans, places in ((line_dedup.removals(docs), old), (line_dedup.whole_removals(docs), new)):
-        for r in spans.collect():
-            assert not places[r.doc_id] & set(range(r.start, r.start + r.length))
-            places[r.doc_id] |= set(range(r.start, r.start + r.length))
-    assert all(places <= new[i] for i, places in old.items())
 
 
 def library_ids(texts):
@@ -307,6 +355,66 @@ def test_html_hidden_and_class_words_are_whole():
         assert html_text.main_text(start + "<p>Text</p></div><p>Rest</p>", set()) == "Rest", start
 
 
+def test_html_words_of_an_article_stay():
+    for page in ("<div class='share-price'><p>The share price fell.</p></div>", "<article><div class='social'><p>The share price fell.</p></div></article>", "<article><p class='alert'>The share price fell.</p></article>", "<article><p>The <span class='search'>share</span> price fell.</p></article>"):
+        assert html_text.main_text(page, {}) == "The share price fell.", page
+    assert html_text.main_text("<article><h2 class='notice'>N</h2><p>x</p></article>", {}) == "N\n\nx"
+    gone = "<article><p>x</p><section class='comments'><p>First!</p></section><div class='notice'>We moved</div><li class='comment'>Me too</li></article><div class='social'>Like us</div><dialog>Sign up</dialog>"
+    assert html_text.main_text(gone, {}) == "x"
+
+
+def test_html_tree_decides_within_articles(spark):
+    """Without a tree, what is alike in all articles of a host would stay."""
+    page = "<html><body><nav>Menu</nav><article><h1>Title {0}</h1><p>Story {0} of the day.</p><div class='box'><p>Read on at our shop.</p></div><div class='social'><p>{1}</p></div></article></body></html>"
+    rows = [(i, "http://a.example/", page.format(i, "Follow us")) for i in range(40)] + [(100 + i, "http://b.example/", page.format(i, f"Social work {i}")) for i in range(40)]
+    by = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(by[i] == f"Title {i}\n\nStory {i} of the day." for i in range(40))
+    assert all(by[100 + i] == f"Title {i}\n\nStory {i} of the day.\n\nSocial work {i}" for i in range(40))
+    assert html_text.main_text(rows[0][2], {}) == "Title 0\n\nStory 0 of the day.\n\nRead on at our shop.\n\nFollow us"
+
+
+def tree_brute_force(pages):
+    """(pages, entropy) by path, from the definition."""
+    seen = defaultdict(list)
+    for p in pages:
+        for node, style, content in html_text.branches(p):
+            seen[node].append((style, content))
+    for node, rows in seen.items():
+        n = len(rows)
+        parts = [[k / n for k in Counter(r[i] for r in rows).values()] for i in (0, 1)]
+        h = [-sum(p * math.log(p) for p in ps) / math.log(n) if n > 1 else 0.0 for ps in parts]
+        yield node, n, 0.2 * h[0] + 0.8 * h[1]
+
+
+def test_html_style_tree_matches_brute_force(spark, sf):
+    from urllib.parse import urlsplit
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    by = defaultdict(list)
+    for r in pages.collect():
+        by[urlsplit(r.url).netloc.lower()].append(r.html)
+    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1))
+    got = {(r.host, r.node): (r.pages, r.entropy) for r in html_text.style_tree(pages.select(host.alias("host"), "html")).collect()}
+    want = {(h, node): (n, e) for h, ps in by.items() for node, n, e in tree_brute_force(ps)}
+    assert got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - e) < 1e-9 for k, (n, e) in want.items())
+    texts = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    trees = {h: {node: (n, e) for node, n, e in tree_brute_force(ps)} for h, ps in by.items()}
+    assert all(texts[r.page_id] == html_text.main_text(r.html, trees[urlsplit(r.url).netloc.lower()]) for r in pages.collect())
+
+
+def test_html_reads_hostile_pages_in_linear_time():
+    import time
+
+    kinds = ["<a ", "<div>", "<div>x ", '<a "', "<!--", "<b></x>", "<div></p>", "<main>", "<script>", "<li><ul>", "<dt><dl><dd>", "&a", "<", "<p>x", "<td><table>"]
+    for kind in kinds:
+        took = []
+        for n in (20_000, 160_000):
+            began = time.process_time()
+            html_text.main_text(kind * (n // len(kind)), {})
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * max(took[0], 0.02), (kind, took)
+
+
 def test_html_articles_of_the_tables(spark, sf):
     """The pages' articles by a plain cut of the markup."""
     import re
@@ -415,6 +523,13 @@ def test_near_vectors_odd_rows(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_near_vectors_labels_of_any_type(spark):
+    for kind, labels in (("double", [1.2, 1.7, 1.2, None]), ("string", ["dog", "cat", "dog", None]), ("boolean", [True, False, True, None])):
+        rows = [(i, [1.0, 0.1 * i], x) for i, x in enumerate(labels)]
+        got = embedding_dedup.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()
+        assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {0: (1, 0), 1: (0, 1), 2: (1, 0), 3: (0, 3)}
+
+
 def license_brute_force(text, containment=0.8):
     w = licenses.words("".join(c if c.isascii() else " " for c in text.lower()))
     s = [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
@@ -537,12 +652,13 @@ def best_products(rows, k=10, every=100):
         if q % every == 0:
             scored = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for i, v in whole if i != q and len(v) == len(x))
             for rank, (s, i) in enumerate(scored[:k], 1):
-                yield q, rank, i, -s
+                yield q, rank, i, min(max(-s, -(2**63)), 2**63 - 1)
 
 
 def test_top_products_match_brute_force(spark, sf, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 64)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "HEAD", 20)
+    monkeypatch.setattr(topk, "STEP", 7)
+    monkeypatch.setattr(topk, "GROUP_BYTES", 1200)
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     want = sorted(best_products([(r.vec_id, r.embedding) for r in vectors.collect()]))
     got = topk.top_inner_products(vectors, F.col("vec_id") % 100 == 0)
@@ -550,11 +666,22 @@ def test_top_products_match_brute_force(spark, sf, monkeypatch):
 
 
 def test_top_products_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    monkeypatch.setattr(topk, "HEAD", 16)
     rng = np.random.default_rng(2)
     rows = [(i, (rng.standard_normal(8) * 10 ** rng.uniform(-2, 2)).tolist()) for i in range(150)]
     rows += [(200, None), (201, [1.0, None]), (202, [float("inf")] * 8), (203, []), (300, []), (204, [0.5, 0.25]), (400, [1.0, 2.0]), (500, [0.0] * 8), (None, [1.0] * 8), (205, rows[0][1]), (206, rows[0][1]), (600, [9.0, 9.0, 9.0])]
-    docs = spark.createDataFrame([(*r, 1, "b") for r in rows], "vec_id long, embedding array<double>, block int, v string")
+    docs = spark.createDataFrame([(*r, 1, "b", 2) for r in rows], "vec_id long, embedding array<double>, norm int, v string, `group` int")
     got = topk.top_inner_products(docs, F.col("vec_id") % 100 == 0).collect()
     assert sorted(tuple(r) for r in got) == sorted(best_products(rows))
     assert topk.top_inner_products(docs.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    assert topk.top_inner_products(docs, F.lit(False)).count() == 0
+
+
+def test_top_products_of_any_size(spark, monkeypatch):
+    """Exact where a component, a product or a sum leaves 32 or 64 bits; the score given is the nearest long."""
+    monkeypatch.setattr(topk, "HEAD", 5)
+    rng = np.random.default_rng(4)
+    for n, top in ((64, 2.0**20), (64, 2.0**22), (4, 1e12), (4, 1e40), (3, 1e300)):
+        rows = [(i, (rng.standard_normal(n) * top * 10 ** rng.uniform(-3, 0)).tolist()) for i in range(60)] + [(100, [top] * n), (101, [top] * n), (102, [-top] * n), (200, [1.0] + [0.0] * (n - 1)), (300, [0.0] * n), (301, rng.standard_normal(n).tolist())]
+        got = topk.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+        assert sorted(tuple(r) for r in got) == sorted(best_products(rows)), top
