@@ -583,16 +583,53 @@ def test_quality_on_held_out_rows(spark):
     assert (scores[0][:, None] > scores[1][None]).mean() > 0.97
 
 
-def test_quality_dictionaries_have_all_of_the_length_of_all_texts(spark):
-    long = "".join(chr(97 + i // 3000) for i in range(26 * 3000))
-    docs = spark.createDataFrame([(1, long), (2, "é" * 10), (3, None)], "doc_id long, text string")
-    got = {r.doc_id: r.t for r in docs.select("doc_id", quality.excerpt(F.col("text")).alias("t")).collect()}
-    assert len(got[1]) == quality.EXCERPT and got[1][0] == "a" and got[1][-1] == "z" and len(set(got[1])) > 6
-    assert got[2] == "é" * 10 and got[3] is None
-    texts = [bytes([65 + i]) * n for i, n in enumerate((4000, 3, 4000, 900, 2000))]
-    joined = quality.dictionary(texts, 2000)
-    assert 1900 < len(joined) <= 2000 and {t[:1] for t in texts} <= {joined[i : i + 1] for i in range(len(joined))}
-    assert quality.dictionary(texts, 99_999) == b"\n".join(texts)
+def test_quality_scores_match_a_plain_recomputation(spark):
+    """Each score from the definition: a compressor a chunk, made anew, and the two curves by hand."""
+    import zstandard
+
+    rng = np.random.default_rng(8)
+    word = lambda a: "".join(rng.choice(list(a), rng.integers(2, 9)))
+    text = lambda q: " ".join(word("abcdefghij" if q else "qrstuvwxyz") for _ in range(rng.integers(1, 400)))
+    rows = [(i, text(i % 3 > 0), int(i % 3 > 0)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(docs, docs.drop("text"))
+    assert len(model.good) == quality.DICTIONARY and len(model.bad) >= quality.DICTIONARY // 2
+    more = [*rows, (900, "x" * 100_000, 0), (901, "", 0), (902, None, 0), (903, "é", 0)]
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(more, docs.schema), model).collect()}
+    for i, t, _ in more:
+        raw, sizes = (t or "").encode(), []
+        for d in (model.good, model.bad):
+            z = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_dict_id=0))
+            sizes.append(sum(len(z.compress(raw[k : k + 512])) for k in range(0, len(raw), 512)))
+        d = (sizes[1] - sizes[0]) / max(len(raw), 1)
+        points = model.curve
+        if d <= points[0][0] or d >= points[-1][0]:
+            iso = points[0][1] if d <= points[0][0] else points[-1][1]
+        else:
+            k = max(k for k in range(len(points)) if points[k][0] <= d)
+            (x0, y0), (x1, y1) = points[k], points[k + 1]
+            iso = y0 + (y1 - y0) * (d - x0) / (x1 - x0)
+        assert got[i] == pytest.approx(0.9 * iso + 0.1 / (1 + math.exp(-max(-30, min(30, model.logistic[0] + model.logistic[1] * d)))), abs=1e-9)
+    assert all((got[i] >= 0.5) == bool(q) for i, t, q in rows if len(t) > 40)
+
+
+def test_quality_curves():
+    x, y = np.array([0.0, 1, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 0, 1])
+    curve = quality.isotonic(x, y, np.ones(6))
+    assert curve == ((0.0, 0.25), (2.5, 0.5), (5.0, 0.75))
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal(4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 + 2 * x)))).astype(float)
+    a, b = quality.logistic(x, y, np.ones(4000))
+    assert abs(a - 0.5) < 0.15 and abs(b - 2) < 0.2
+
+
+def test_quality_repeated_labels_and_rows(spark):
+    rows = [(i, ("good words here %d " % i if i % 2 else "BAD!! $$$ %d " % i) * 9) for i in range(80)]
+    labels = [(i, i % 2) for i in range(80)]
+    plain = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    more = quality.fit(spark.createDataFrame(rows * 3 + [(1, "zzz")], "doc_id long, text string"), spark.createDataFrame(labels * 5, "doc_id long, quality int"))
+    assert plain == more
 
 
 def test_quality_odd_rows(spark):
