@@ -38,8 +38,15 @@ def op4_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def secret_forest() -> secrets.Forest:
+    """The forest of the scans, with the words of a public vocabulary."""
+    import public_tokenizers
+
+    return secrets.fit(vocabulary=public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_secrets(spark, sf_dir):
-    return secrets.scan(table(spark, sf_dir, "documents")).filter("is_secret").drop("is_secret")
+    return secrets.scan(table(spark, sf_dir, "documents"), secret_forest()).filter("is_secret").drop("is_secret")
 
 
 def op6_embedding_dedup(spark, sf_dir):

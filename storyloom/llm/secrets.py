@@ -1,11 +1,14 @@
 """Secret scans: patterns find candidates, a random forest trained on labelled findings removes false positives.
 
 The forest sees a candidate's length, the transitions between its characters, how much of it a dictionary covers, the
-words of the path it was found under and the words around it.
+words of the path it was found under and the words around it. The dictionary is the list of words of a vocabulary file, and
+the credentials' words below without one.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import math
 import random
 import re
@@ -23,20 +26,22 @@ TREES, DEPTH, LEAF = 40, 9, 3
 REACH = 48  # characters on either side that count as neighbourhood
 PLACEHOLDER = "[SECRET]"
 
-# Words that tell credentials from other long strings.
+# Formats of known keys, and words that tell credentials from other long strings.
 CREDENTIAL_WORDS = set("token secret password passwd pwd apikey api key auth authorization bearer credential credentials access private client session signing aws github slack stripe".split())
 HARMLESS_WORDS = set("sha sha1 sha256 md5 commit checksum digest hash uuid guid id revision etag integrity fingerprint version build isbn doi order invoice phone call card email mail ref page serial".split())
 DUMMY_WORDS = set("example sample dummy test testing fake placeholder changeme your yourtoken redacted xxxx todo none null undefined default demo insert here replace foo bar baz lorem ipsum".split())
-DICTIONARY = sorted(CREDENTIAL_WORDS | HARMLESS_WORDS | DUMMY_WORDS | set("the and for with that this from have are not was you all can will one out use get set new data file name user home main page view list item type value text string number config settings service server client system local remote public model table index query result error message event handler module package import class function method object array image video account login admin manager controller request response".split()), key=lambda w: (-len(w), w))
+DICTIONARY = frozenset(CREDENTIAL_WORDS | HARMLESS_WORDS | DUMMY_WORDS | set("the and for with that this from have are not was you all can will one out use get set new data file name user home main page view list item type value text string number config settings service server client system local remote public model table index query result error message event handler module package import class function method object array image video account login admin manager controller request response".split()))
+SHORTEST, LONGEST = 4, 14  # letters of a dictionary word that counts
 
-_KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{30,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}|glpat-[A-Za-z0-9_\-]{16,}"
+_KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{30,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}|glpat-[A-Za-z0-9_\-]{16,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|sk-(?:[a-z]{2,8}-)*[A-Za-z0-9_\-]{20,}|shp(?:at|ss|ca|pa)_[a-fA-F0-9]{32}|do[opr]_v1_[a-f0-9]{64}|pypi-[A-Za-z0-9_\-]{40,}|[0-9]{8,10}:AA[A-Za-z0-9_\-]{33}|T[A-Z0-9]{8,11}/B[A-Z0-9]{8,11}/[A-Za-z0-9]{20,}"
+_LOGIN = r"\b[a-zA-Z][a-zA-Z0-9+.\-]{0,30}://[^\s:/@\"']*:(?P<login>[^\s@/\"']{3,})@"
 # What a name of a credential has in it, the name's end, and a value, which ends before the next parameter of a URL.
 _NAMED = r"(?=[AaBbCcPpSsTt])(?i:password|passwd|pwd|secret|token|credentials?|bearer|authorization|(?:api|access|private|auth|signing)[_.\-]?key)"
 _ASSIGNED = r"[A-Za-z0-9_.\-]{0,32}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?"
 _VALUE = r"(?:(?!&[A-Za-z0-9_.\-]+=)[^\s\"',;]){8,}"
 _PATTERN = re.compile(
     r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:(?s:(?:(?!-----BEGIN ).)*?)-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|(?:\s*[A-Z][A-Za-z\-]*:[^\n]*\n)*[^-]*)"
-    r"|(?<![A-Za-z0-9_\-])(?P<known>" + _KNOWN + r")(?![A-Za-z0-9_\-])"
+    r"|" + _LOGIN + r"|(?<![A-Za-z0-9_\-])(?P<known>" + _KNOWN + r")(?![A-Za-z0-9_\-])"
     r"|" + _NAMED + r"(?:" + _ASSIGNED + r"(?P<given>(?!(?i:bearer|basic|token)\b)" + _VALUE + r")|[ \t](?P<bare>(?=[^\s\"',;]*(?:[0-9!#%&*$]|[a-z][A-Z]))" + _VALUE + r"))"
     r"|(?<![A-Za-z0-9_+/@\-])(?=[A-Za-z0-9+/_\-]{20})(?![A-Za-z0-9_\-]*" + _NAMED + _ASSIGNED + _VALUE + r")(?P<long>(?=[A-Za-z0-9+/_\-]*[0-9])[A-Za-z0-9+/_\-]{20,}={0,2})(?![A-Za-z0-9_+/@])"
 )
@@ -55,7 +60,28 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def features(secret: str, before: str, after: str, path: str) -> list[float]:
+@functools.cache
+def dictionary(path: str | None) -> frozenset[str]:
+    """The whole words of a tokenizers vocabulary with word ends, in lower case; DICTIONARY without a file."""
+    if path is None:
+        return DICTIONARY
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = (w.removesuffix("</w>") for w in vocabulary if w.endswith("</w>"))
+    return DICTIONARY | {w for w in words if w.isascii() and w.isalpha() and w.islower()}
+
+
+def coverage(low: str, words: frozenset[str]) -> float:
+    """The share of a lower-case text that dictionary words cover, taken from the left, the longest first."""
+    at = covered = 0
+    while at < len(low):
+        size = next((n for n in range(min(LONGEST, len(low) - at), SHORTEST - 1, -1) if low[at : at + n] in words), 0)
+        covered += size
+        at += size or 1
+    return covered / max(len(low), 1)
+
+
+def features(secret: str, before: str, after: str, path: str, words: frozenset[str] = DICTIONARY) -> list[float]:
     """Numbers that the forest decides by."""
     n = max(len(secret), 1)
     counts: dict[str, int] = {}
@@ -67,29 +93,27 @@ def features(secret: str, before: str, after: str, path: str) -> list[float]:
     repeats = sum(a == b for a, b in zip(secret, secret[1:], strict=False)) / n
     steps = sum(ord(b) - ord(a) == 1 for a, b in zip(secret, secret[1:], strict=False)) / n
     low = secret.lower()
-    covered, rest = 0, low
-    for w in DICTIONARY:
-        if len(w) > 2 and w in rest:
-            covered += len(w) * rest.count(w)
-            rest = rest.replace(w, " ")
     near, far = (_WORD.findall(_CAMEL.sub(" ", t).lower()) for t in (before, after))
     last = near[-3:]
     places = set(_WORD.findall(path.lower()))
     return [
-        float(n), entropy, changes, repeats, steps, covered / n,
+        float(n), entropy, changes, repeats, steps, coverage(low, words),
         sum(c.isdigit() for c in secret) / n, sum(c.isupper() for c in secret) / n, sum(c in "0123456789abcdefABCDEF" for c in secret) / n,
         float(sum(w in CREDENTIAL_WORDS for w in last)), float(sum(w in HARMLESS_WORDS for w in last)),
         float(sum(w in CREDENTIAL_WORDS for w in near + far)), float(any(w in DUMMY_WORDS for w in near + far)),
         float(bool(re.search(r"[:=]\s{0,3}[\"']?\Z", before))), float(bool(places & DUMMY_WORDS)), float(len(set(low)) / n),
         float(low.count("-") / n), float(bool(re.match(_KNOWN, secret))),
+        float(bool(re.search(r"://[^\s:/@]*:\Z", before))), float(bool(re.fullmatch(r"[A-Za-z]+[.!?,]?", secret))),
     ]
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Trees as arrays: feature (-1 at a leaf), threshold, left and right child, share of true findings."""
+    """Trees as arrays: feature (-1 at a leaf), threshold, left and right child, share of true findings; and the words of
+    the dictionary that the features go by."""
 
     trees: tuple[tuple[np.ndarray, ...], ...]
+    words: frozenset[str] = DICTIONARY
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -224,10 +248,46 @@ def labelled_assignments(n: int = 1200, seed: int = SEED) -> list[tuple[str, str
     return out
 
 
-def fit(findings=None) -> Forest:
-    """A forest from rows (secret, before, after, path, label); generated ones by default."""
-    rows = labelled_findings() + labelled_keys() + labelled_assignments() if findings is None else list(findings)
-    return train(np.array([features(*r[:4]) for r in rows]), np.array([float(r[4]) for r in rows]))
+def labelled_formats(n: int = 1600, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
+    """Rows like those of labelled_findings, of the formats of known keys, logins in addresses and passwords of words;
+    names, versions, addresses without a secret and words for them."""
+    rng = random.Random(seed + 2)
+    digits, hexes, upper = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    b62 = upper + upper.lower() + digits
+    draw = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    common = sorted(w for w in DICTIONARY - CREDENTIAL_WORDS - DUMMY_WORDS if len(w) > 3)
+    known = [lambda: "npm_" + draw(b62, 36), lambda: "hf_" + draw(b62, 34), lambda: f"SG.{draw(b62, 22)}.{draw(b62, 43)}", lambda: "sk-" + draw(b62, 48), lambda: "shpat_" + draw(hexes, 32), lambda: "dop_v1_" + draw(hexes, 64), lambda: draw(digits, 9) + ":AA" + draw(b62, 33), lambda: "glpat-" + draw(b62, 20), lambda: f"T{draw(upper, 9)}/B{draw(upper, 9)}/{draw(b62, 24)}", lambda: "AIza" + draw(b62, 35), lambda: f"eyJ{draw(b62, 17)}.{draw(b62, 60)}.{draw(b62, 43)}", lambda: "AKIA" + draw(upper + digits, 16), lambda: "ghp_" + draw(b62, 36)]
+    password = lambda: rng.choice([lambda: rng.choice(common) + draw(digits, rng.randint(1, 4)) + rng.choice(["", "!", "#", "$"]), lambda: (rng.choice(common) + draw(digits, 1)) * 2, lambda: rng.choice(common) + draw(digits, rng.randint(1, 2)) + rng.choice(common) + rng.choice(["", "!", "?"]), lambda: rng.choice(common).capitalize() + rng.choice(common).capitalize() + draw(digits, 2), lambda: draw(b62 + "!#%", rng.randint(8, 16))])()
+    out = []
+    for i in range(n):
+        left, right = (" ".join(rng.choice(common) for _ in range(rng.randint(0, 6))) for _ in range(2))
+        path, kind, label = rng.choice(["src/app/main.py", "deploy/.env", "src3", "src17", "web", ""]), rng.random(), i % 2
+        if label and kind < 0.5:
+            value, before = rng.choice(known)(), left + rng.choice([" ", " token: ", " key=", "\n", " \"", "=", "https://hooks.host.example/services/"])
+        elif label and kind < 0.75:
+            value, before = password(), f"{left} {rng.choice(['postgres', 'mysql', 'redis', 'https', 'amqp', 'mongodb+srv'])}://{rng.choice([*common, ''])}:"
+            right = f"@{rng.choice(common)}.example/{right}"
+        elif label:
+            value, before = password(), f"{left} {rng.choice(['password', 'Password', 'passwd', 'pwd', 'DB_PASSWORD', 'PASSWORD'])}{rng.choice([': ', '=', ' = ', '=' + chr(34)])}"
+        elif kind < 0.3:
+            value, before = rng.choice(["password", "secret", "<password>", "${PASS}", "user", "xxxxxxxx", "$DB_PASSWORD", "changeme"]), f"{left} {rng.choice(['postgres', 'https', 'redis'])}://{rng.choice(common)}:"
+            right = f"@{rng.choice(['localhost', 'host', 'example.com'])}/{right}"
+        elif kind < 0.6:
+            value, before = rng.choice(common) + rng.choice([".", "", ",", " "]).strip(), f"{left} {rng.choice(['password', 'token', 'secret', 'Token', 'credentials'])}{rng.choice([': ', '=', ' = '])}"
+            value = value if len(value) > 7 else value + "ment"
+        else:
+            value, before = rng.choice([lambda: "-".join(rng.choice(common) for _ in range(4)) + "-" + draw(digits, 2), lambda: "_".join(rng.choice(common) for _ in range(4)) + "_" + draw(digits, 1), lambda: "/".join(rng.choice(common) for _ in range(4)) + "/" + draw(digits, 4), lambda: "v" + ".".join(draw(digits, 2) for _ in range(7)), lambda: "".join(rng.choice(common).capitalize() for _ in range(4)) + draw(digits, 1)])(), f"{left} "
+        out.append((value, before[-REACH:], (right if right.startswith("@") else " " + right)[:REACH], path, label))
+    return out
+
+
+def fit(findings=None, vocabulary: str | None = None) -> Forest:
+    """A forest from rows (secret, before, after, path, label), generated ones by default, and the path of a vocabulary
+    file on the driver, for the dictionary."""
+    rows = labelled_findings() + labelled_keys() + labelled_assignments() + labelled_formats() if findings is None else list(findings)
+    words = dictionary(vocabulary)
+    trained = train(np.array([features(*r[:4], words) for r in rows]), np.array([float(r[4]) for r in rows]))
+    return Forest(trained.trees, words)
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -237,7 +297,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRES
     reaches threshold. Null and empty texts have no candidates; a null path is empty. Repeated rows, and rows that share
     an id, are scanned each on its own. Other columns are ignored. An empty table gives an empty result.
     """
-    shared = session(docs).sparkContext.broadcast(forest or fit())  # bounded by the trees' number and depth
+    shared = session(docs).sparkContext.broadcast(forest or fit())  # bounded by the trees' number and depth and the dictionary
 
     def run(it):
         model = shared.value
@@ -247,7 +307,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRES
             for key, text, path in zip(ids, texts, paths, strict=True):
                 for s, e, kind in candidates(text or ""):
                     rows.append((key, s, e - s, kind))
-                    x.append(features(text[s:e], text[max(0, s - REACH) : s], text[e : e + REACH], path or ""))
+                    x.append(features(text[s:e], text[max(0, s - REACH) : s], text[e : e + REACH], path or "", model.words))
             score = model.predict(np.array(x)).round(6) if x else np.empty(0)
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
@@ -259,7 +319,11 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRES
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """docs with a placeholder in the place of each secret in the text; everything else stays as it is."""
+    """docs with a placeholder in the place of each secret in the text; everything else stays as it is.
+
+    A null text stays null and an empty one empty; a null path is empty. Every row is read on its own, repeated ones and
+    ones without an id too. An empty table gives an empty result.
+    """
     shared = session(docs).sparkContext.broadcast(forest or fit())
 
     @F.pandas_udf("string")
@@ -270,7 +334,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THR
         for text, path in zip(texts, paths, strict=True):
             found = list(candidates(text)) if text else []
             if found:
-                x = np.array([features(text[s:e], text[max(0, s - REACH) : s], text[e : e + REACH], path or "") for s, e, _ in found])
+                x = np.array([features(text[s:e], text[max(0, s - REACH) : s], text[e : e + REACH], path or "", model.words) for s, e, _ in found])
                 at, parts = 0, []
                 for (s, e, _), p in zip(found, model.predict(x), strict=True):
                     if p >= threshold:
