@@ -636,6 +636,24 @@ def test_words_that_every_match_needs():
         need = licenses.needed_words(t, 0.8)
         left = {s for s in set(t) if need.isdisjoint(s.split())}
         assert len(left) < 0.8 * len(set(t))
+        sets = licenses.needed_sets(t, 0.8)
+        assert sets[0] == need and sum(map(len, sets)) == len(set().union(*sets))
+        assert all(len([s for s in set(t) if n.isdisjoint(s.split())]) < 0.8 * len(set(t)) for n in sets)
+
+
+def test_licenses_of_whole_texts(spark):
+    """Every template is found in a text that holds it, re-wrapped and with a word in twenty changed in the middle."""
+    rows, want = [], set()
+    for i, (name, number, _) in enumerate(licenses.template_shingles(licenses.TEMPLATES)):
+        w = licenses.TEMPLATES[name][number].split()
+        if len(w) > 60:
+            w[len(w) // 2] = "changed"
+        rows.append((i, "Some words before.\n" + "\n * ".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9)) + "\nand after"))
+        want.add((i, name, number))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.find_licenses(docs).collect()
+    assert want <= {(r.doc_id, r.license, r.template) for r in got}
+    assert sorted(((r.doc_id, *x) for r in docs.collect() for x in license_brute_force(r.text)), key=str) == sorted(map(tuple, got), key=str)
 
 
 def test_rows_without_an_id_draw_on_their_own(spark):
