@@ -75,6 +75,14 @@ def small(df: DataFrame, most_rows: int) -> bool:
     return df.limit(most_rows + 1).count() <= most_rows
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def unit_hash(*parts: Column, seed: int) -> Column:
     """A number in [0, 1) from md5, the same in any engine that has md5."""
     text = F.concat_ws(":", F.lit(str(seed)), *parts)

@@ -768,11 +768,24 @@ def test_mix_rates_and_odd_rows(spark):
     got = {r.source: r.n for r in poisson_mix.mix(docs, targets, total=1_000_000).groupBy("source").agg(F.count("*").alias("n")).collect()}
     for source, n in (("a", 1000), ("b", 97000), (None, 2000)):
         assert abs(got[source] - n) < 6 * math.sqrt(n)
-    assert poisson_mix.mix(odd_docs(spark)).filter("doc_id = 9").count() >= 0
+    odd = poisson_mix.mix(odd_docs(spark), total=60_000_000).collect()
+    copies = Counter(r.doc_id for r in odd)
+    assert set(copies) >= set(range(len(ODD_TEXTS))) | {None} and all(r.copies >= r.copy >= 1 for r in odd)
+    assert {r.text for r in odd if r.doc_id == 10} == {ODD_TEXTS[10]} and all(r.digest == "d" for r in odd if r.doc_id is not None)
     assert poisson_mix.mix(no_docs(spark)).count() == 0
     assert poisson_mix.mix(docs, spark.createDataFrame([], "source string, weight double")).count() == 0
 
 
+def test_mix_keeps_columns_that_clash(spark):
+    rows = [(i, "x" * 10, f"s{i % 2}", i, "k", 2.5, [i], "c") for i in range(200)] + [(None, "y", "s0", 1, "k", 2.5, [1], "c")] * 2500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `key` long, u string, place double, cdf array<int>, doc string")
+    got = poisson_mix.mix(docs).collect()
+    assert got[0].asDict().keys() == {*docs.columns, "copy", "copies"}
+    whole = {(r.doc_id, r.text, r.source, r.key, r.u, r.place, tuple(r.cdf), r.doc) for r in got}
+    assert whole <= {(*r[:6], tuple(r[6]), r[7]) for r in rows} and len([r for r in got if r.doc_id is None]) > 1500
+    assert sorted(map(str, got)) == sorted(map(str, poisson_mix.mix(docs.repartition(3)).collect()))
+
+
 def best_products(rows, k=10, every=100):
     whole = [(i, topk.quantise(v, 1024.0)) for i, v in rows]
     whole = [(i, v) for i, v in whole if i is not None and v is not None]
