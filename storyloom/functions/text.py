@@ -54,8 +54,8 @@ def _fold_exact(s: pd.Series) -> pd.Series:
 
 def fold(text: str) -> str:
     """The exact folding, in Python: NFKD without combining marks, plain quotes and dashes, lower case, single blanks."""
-    text = unicodedata.normalize("NFKD", text)
-    text = "".join(x for x in text if not unicodedata.combining(x))
+    if not text.isascii():
+        text = "".join(x for x in unicodedata.normalize("NFKD", text) if x.isascii() or not unicodedata.combining(x))
     return re.sub(r"\s+", " ", text.translate(_QUOTES)).strip().lower()
 
 

@@ -57,6 +57,23 @@ def dot_products(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> Data
     return x.join(y, ["term", *keys]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
 
+def similar_pairs(vectors: DataFrame, threshold: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, cosine) for all pairs of unit vectors (id, term, w, *keys) with equal keys and a cosine of at least threshold.
+
+    Candidates share a term of both vectors' prefixes: terms from the rarest on, until what is left of a vector is shorter
+    than threshold. As the order is the same for all, a pair without such a term has all its common terms in one vector's
+    rest, and can't reach the threshold. Common words so seldom bring vectors together.
+    """
+    counted = vectors.join(document_frequencies(vectors).withColumnRenamed("df", "__df"), "term")
+    rest = Window.partitionBy("id").orderBy(F.col("__df").desc(), F.col("term").desc())
+    head = counted.withColumn("__rest", F.sum(F.col("w") * F.col("w")).over(rest)).filter(F.col("__rest") >= threshold * threshold * (1 - 1e-9))
+    x, y = (head.select(F.col("id").alias(c), "term", *keys) for c in "ab")
+    met = x.join(y, ["term", *keys]).filter("a < b").select("a", "b").distinct()
+    x, y = (vectors.select(F.col("id").alias(c), "term", F.col("w").alias(f"w{c}")) for c in "ab")
+    dots = met.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    return dots.filter(F.round("cosine", 5) >= threshold)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of two unit vectors given as maps."""
     return F.aggregate(F.map_entries(a), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
@@ -73,6 +90,6 @@ def composite(cosine_part: Column, entity_part: Column, s: Settings = DEFAULT) -
 
 
 def assignment(similarity: Column, hours_apart: Column, share_topic: Column) -> Column:
-    """Similarity with a bonus for closeness in time and for a common topic."""
+    """Similarity with a bonus for closeness in time and for a common topic, 1 at most."""
     near = similarity * (1.0 + 0.10 * F.exp(-F.abs(hours_apart) / 12.0))
-    return F.when(share_topic, near * 1.04).otherwise(near)
+    return F.least(F.lit(1.0), F.when(share_topic, near * 1.04).otherwise(near))

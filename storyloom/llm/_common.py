@@ -75,6 +75,13 @@ def small(df: DataFrame, most_rows: int) -> bool:
     return df.limit(most_rows + 1).count() <= most_rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table dealt out to all cores where its files make fewer tasks than there are cores, as one small file does; any
+    other stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have."""
     taken = {c.lower() for c in df.columns}

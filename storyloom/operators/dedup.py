@@ -1,17 +1,20 @@
-"""Duplicate cascade as relational operators: exact address, exact content, SimHash bands, MinHash within a group.
+"""Duplicate cascade as relational operators: exact address, exact content, near SimHash, MinHash within a group.
 
-Each step works on what the cheaper one left. Candidates come from equi-joins on hashes, bands or groups; nothing is
-compared with everything.
+Each step works on what the cheaper one left. Candidates come from equi-joins on hashes, parts of fingerprints or groups;
+nothing is compared with everything.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import DEFAULT, Settings
 from ..functions import fingerprint as fp
+from .tables import written
 
 
 def kind(same_source: Column, same: str) -> Column:
@@ -19,78 +22,144 @@ def kind(same_source: Column, same: str) -> Column:
     return F.when(same_source, same).otherwise("syndicated")
 
 
-def first_by_url(articles: DataFrame, order: tuple[str, ...] = ("fetched_at", "id")) -> DataFrame:
-    """articles with `url_rank`, the arrival order within a web address, and `first_id`, the id that came first."""
-    w = Window.partitionBy("url_hash").orderBy(*order)
-    return articles.withColumn("url_rank", F.row_number().over(w)).withColumn("first_id", F.first("id").over(w))
+def by_address(arrivals: DataFrame) -> DataFrame:
+    """(id, first_id, changed, revision) of arrivals (id, url_hash, content_hash, fetched_at): the row that came first
+    under its address, whether the content differs from the arrival before, and how many contents there were so far."""
+    w = Window.partitionBy("url_hash").orderBy("fetched_at", "id")
+    marked = arrivals.withColumn("first_id", F.first("id").over(w)).withColumn("changed", F.coalesce(F.lag("content_hash").over(w) != F.col("content_hash"), F.lit(False)))
+    return marked.withColumn("revision", 1 + F.sum(F.col("changed").cast("int")).over(w)).select("id", "first_id", "changed", "revision")
 
 
-def exact_content(articles: DataFrame, as_of: Column | None = None, s: Settings = DEFAULT) -> DataFrame:
-    """articles with dup_of_id and dup_kind: the earliest row of the same content within the window, by published_at
-    and id. Twins are roots, never copies themselves."""
-    rows = articles if as_of is None else articles.filter(F.col("published_at") >= as_of - F.expr(f"INTERVAL {s.dedup_window_h} HOURS"))
-    # The root of each content is an aggregate of small rows, so that a hot content doesn't meet in one task.
-    root = rows.groupBy("content_hash").agg(F.min(F.struct("published_at", "id", "source_id")).alias("root"))
-    joined = articles.join(root, "content_hash", "left")
-    own = F.coalesce(F.col("root.id") == F.col("id"), F.lit(True)) | (F.struct("published_at", "id") < F.struct("root.published_at", "root.id"))
-    out = joined.withColumn("dup_of_id", F.when(~own, F.col("root.id")))
-    return out.withColumn("dup_kind", F.when(~own, kind(F.col("source_id").eqNullSafe(F.col("root.source_id")), "exact_content"))).drop("root")
+def first_by_url(articles: DataFrame) -> DataFrame:
+    """The articles that came first under their addresses."""
+    history = by_address(articles.select("id", "url_hash", "content_hash", "fetched_at"))
+    return articles.join(history.filter("id = first_id").select("id"), "id", "left_semi")
 
 
-def lsh_pairs(prints: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(a, b, distance) for pairs of rows (id, simhash), a < b, at a Hamming distance of at most s.hamming_max.
+def chains(rows: DataFrame, key: str, s: Settings = DEFAULT) -> DataFrame:
+    """rows (id, source_id, published_at, <key>) with `root`, a struct of published_at, id and source_id, and `until`.
 
-    Complete, as such a pair agrees in one of s.bands > s.hamming_max bands. Rows of one fingerprint are joined once,
-    as a group, and a pair of fingerprints counts in the first band they share, so no pair is made twice.
+    Rows of a key make a chain as long as each was published within s.dedup_window_h hours of one before; root is the
+    chain's first row, by published_at and id, and until the last time. Rows are first summed up by day, so that a key with
+    a third of all rows costs a task no more than its days.
     """
-    groups = prints.groupBy("simhash").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    width = 64 // s.bands
-    cut = lambda c, i: F.shiftrightunsigned(c, i * width).bitwiseAND(F.lit((1 << width) - 1))
-    banded = groups.select("simhash", F.posexplode(F.array(*[cut(F.col("simhash"), i) for i in range(s.bands)])).alias("i", "v"))
-    x, y = banded.alias("x"), banded.alias("y")
-    first = F.lit(False)
-    for i in range(s.bands):
-        first = first | ((F.col("x.i") == i) & ~_any_equal(cut, i))
-    met = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.simhash") < F.col("y.simhash")) & (fp.hamming(F.col("x.simhash"), F.col("y.simhash")) <= s.hamming_max))
-    met = met.filter(first).select(F.col("x.simhash").alias("sa"), F.col("y.simhash").alias("sb"))
-    one, two = groups.alias("one"), groups.alias("two")
-    across = met.join(one, F.col("sa") == F.col("one.simhash")).join(two, F.col("sb") == F.col("two.simhash"))
-    across = across.select(F.explode("one.ids").alias("p"), F.col("two.ids").alias("q"), fp.hamming(F.col("sa"), F.col("sb")).alias("distance")).select("p", F.explode("q").alias("q"), "distance")
-    across = across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
-    within = groups.filter(F.size("ids") > 1).select(F.posexplode("ids").alias("pos", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("pos") + 2, F.size("ids"))).alias("b"), F.lit(0).alias("distance"))
-    return across.unionByName(within)
+    day = F.floor(F.unix_seconds(F.col("published_at").cast("timestamp")) / 86_400)
+    window = F.expr(f"INTERVAL {s.dedup_window_h} HOURS")
+    days = rows.groupBy(key, day.alias("__day")).agg(F.min(F.struct("published_at", "id", "source_id")).alias("head"), F.max("published_at").alias("tail"))
+    in_order = Window.partitionBy(key).orderBy("__day")
+    starts = F.coalesce(F.col("head.published_at") > F.lag("tail").over(in_order) + window, F.lit(False)).cast("int")
+    days = days.withColumn("__starts", starts).withColumn("__chain", F.sum("__starts").over(in_order))
+    whole = Window.partitionBy(key, "__chain")
+    days = days.select(key, "__day", F.min("head").over(whole).alias("root"), F.max("tail").over(whole).alias("until"))
+    return rows.withColumn("__day", day).join(days, [key, "__day"]).drop("__day")
 
 
-def _any_equal(cut, i: int) -> Column:
-    out = F.lit(False)
-    for j in range(i):
-        out = out | (cut(F.col("x.simhash"), j) == cut(F.col("y.simhash"), j))
-    return out
+def exact_content(articles: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """articles with dup_of_id and dup_kind: copies of an article of the same content, published within s.dedup_window_h
+    hours before, or of a copy of it. The first of such a chain is the original of all."""
+    slim = chains(articles.select("id", "source_id", "published_at", "content_hash"), "content_hash", s).filter("id <> root.id")
+    found = slim.select(F.col("id").alias("__id"), F.col("root.id").alias("dup_of_id"), kind(F.col("source_id").eqNullSafe(F.col("root.source_id")), "exact_content").alias("dup_kind"))
+    return articles.join(found, F.col("id") == F.col("__id"), "left").drop("__id")
+
+
+AGREE = 3  # parts of a fingerprint that two near ones agree in at least, 18 bits or more together at 7 bits apart
+
+
+def _parts(s: Settings) -> list[int]:
+    """Masks of the parts that a fingerprint is cut into: AGREE more than the bits that may differ."""
+    n = s.hamming_max + AGREE
+    cuts = [64 * i // n for i in range(n + 1)]
+    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def keyed(prints: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """prints (simhash, ...) with `mask` and `masked`, a row for each choice of AGREE parts: near fingerprints have one of
+    these in common, whichever bits differ."""
+    masks = [_signed(sum(c)) for c in itertools.combinations(_parts(s), AGREE)]
+    out = prints.withColumn("mask", F.explode(F.array(*map(F.lit, masks))))
+    return out.withColumn("masked", F.col("simhash").bitwiseAND(F.col("mask")))
+
+
+def _first_met(x: Column, y: Column, mask: Column, s: Settings) -> Column:
+    """Whether mask has the first of the parts that x and y agree in, so that a pair that meets often counts once."""
+    parts = F.array(*[F.lit(_signed(p)) for p in _parts(s)])
+    none = F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).alias("found"))
+
+    def add(acc, p):
+        takes = (x.bitwiseXOR(y).bitwiseAND(p) == 0) & (acc["found"] < AGREE)
+        return F.struct(F.when(takes, acc["first"].bitwiseOR(p)).otherwise(acc["first"]).alias("first"), (acc["found"] + takes.cast("int")).alias("found"))
+
+    return F.aggregate(parts, none, add, lambda acc: acc["first"]) == mask
+
+
+def lsh_classes(prints: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """(a, b, distance) over rows (id, simhash): for each fingerprint its smallest id a with every other id b of it, at a
+    distance of 0, and for each pair of fingerprints within s.hamming_max bits their smallest ids, a below b.
+
+    That is every pair of near rows: two are near if their smallest ids are. Copies are never paired with each other.
+    """
+    groups = prints.groupBy("simhash").agg(F.min("id").alias("rep"))
+    members = prints.join(groups, "simhash").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
+    spread = keyed(groups, s)
+    x, y = spread.alias("x"), spread.alias("y")
+    near = fp.hamming(F.col("x.simhash"), F.col("y.simhash"))
+    met = x.join(y, (F.col("x.mask") == F.col("y.mask")) & (F.col("x.masked") == F.col("y.masked")) & (F.col("x.rep") < F.col("y.rep")) & (near <= s.hamming_max))
+    met = met.filter(_first_met(F.col("x.simhash"), F.col("y.simhash"), F.col("x.mask"), s))
+    return members.unionByName(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), near.alias("distance")))
+
+
+def lsh_pairs(prints: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """(a, b, distance) for all pairs of rows (id, simhash), a < b, at a Hamming distance of at most s.hamming_max.
+
+    As many rows as there are pairs, the square of a group of copies among them: where copies may be many, use
+    lsh_classes(), which says as much.
+    """
+    prints = written(prints, "prints")
+    members = written(prints.join(prints.groupBy("simhash").agg(F.min("id").alias("rep")), "simhash").select("rep", "id"), "members")
+    p, q = (members.select(F.col("rep").alias(r), F.col("id").alias(i)) for r, i in (("a", "p"), ("b", "q")))
+    across = lsh_classes(prints, s).filter("distance > 0").join(p, "a").join(q, "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
+    within = p.join(q, F.col("a") == F.col("b")).filter("p < q").select(F.col("p").alias("a"), F.col("q").alias("b"), F.lit(0).alias("distance"))
+    return across.unionByName(within)
 
 
 def near_duplicates(articles: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(id, dup_of_id, distance, dup_kind, similarity): each article's nearest earlier one by fingerprint; ties go to
-    the smaller id. Earlier is by (published_at, id), within s.dedup_window_h."""
-    flat = articles.select("id", "source_id", "published_at")
-    pairs = lsh_pairs(articles.select("id", "simhash"), s)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    met = both.join(flat.select(F.col("id").alias("a"), F.col("source_id").alias("sa"), F.col("published_at").alias("ta")), "a").join(flat.select(F.col("id").alias("b"), F.col("source_id").alias("sb"), F.col("published_at").alias("tb")), "b")
-    earlier = met.filter((F.struct("tb", "b") < F.struct("ta", "a")) & (F.col("tb") >= F.col("ta") - F.expr(f"INTERVAL {s.dedup_window_h} HOURS")))
-    best = earlier.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("distance", "b", (F.col("sa") != F.col("sb")).alias("other"))).alias("best"))
-    return best.select("id", F.col("best.b").alias("dup_of_id"), F.col("best.distance").alias("distance"), kind(~F.col("best.other"), "near_dup").alias("dup_kind"), (1.0 - F.col("best.distance") / 64.0).alias("similarity"))
+    """(id, dup_of_id, distance, dup_kind, similarity) of articles (id, source_id, published_at, simhash) that come within
+    s.dedup_window_h hours after one of a near fingerprint.
+
+    Rows of one fingerprint make chains; all but the first of a chain are copies of it, at distance 0. The first is
+    compared with the chains of other fingerprints that began before it and were at most that long ago: the least distance
+    counts, then the earliest chain. Candidates meet in equi-joins on parts of the fingerprint and the week.
+    """
+    rows = written(articles.select("id", "source_id", "published_at", "simhash"), "prints")
+    placed = written(chains(rows, "simhash", s), "chains")
+    copies = placed.filter("id <> root.id").select("id", F.col("root.id").alias("dup_of_id"), F.lit(0).alias("distance"), (F.col("source_id") != F.col("root.source_id")).alias("other"))
+    heads = placed.filter("id = root.id").select("id", "source_id", "published_at", "until", "simhash")
+    week = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / (3600 * s.dedup_window_h))
+    mine = keyed(heads.withColumn("week", week(F.col("published_at"))), s).alias("x")
+    known = keyed(heads.withColumn("week", F.explode(F.sequence(week(F.col("published_at")), week(F.col("until")) + 1))), s).alias("y")
+    near = fp.hamming(F.col("x.simhash"), F.col("y.simhash"))
+    met = mine.join(known, (F.col("x.mask") == F.col("y.mask")) & (F.col("x.masked") == F.col("y.masked")) & (F.col("x.week") == F.col("y.week")) & (F.col("x.simhash") != F.col("y.simhash")) & (near <= s.hamming_max))
+    met = met.filter(F.struct("y.published_at", "y.id") < F.struct("x.published_at", "x.id")).filter(F.col("y.until") >= F.col("x.published_at") - F.expr(f"INTERVAL {s.dedup_window_h} HOURS"))
+    met = met.filter(_first_met(F.col("x.simhash"), F.col("y.simhash"), F.col("x.mask"), s))
+    best = met.groupBy("x.id").agg(F.min(F.struct(near.alias("distance"), F.col("y.published_at"), F.col("y.id").alias("of"), (F.col("x.source_id") != F.col("y.source_id")).alias("other"))).alias("best"))
+    found = copies.unionByName(best.select("id", F.col("best.of").alias("dup_of_id"), F.col("best.distance").alias("distance"), F.col("best.other").alias("other")))
+    return found.select("id", "dup_of_id", F.col("distance").cast("int").alias("distance"), kind(~F.coalesce("other", F.lit(True)), "near_dup").alias("dup_kind"), (1.0 - F.col("distance") / 64.0).alias("similarity"))
 
 
 def within_group(articles: DataFrame, group: str, s: Settings = DEFAULT) -> DataFrame:
     """(id, dup_of_id, dup_kind, similarity): MinHash matches with the s.check_members newest earlier members of a group.
 
     articles has (id, <group>, source_id, published_at, minhash). The newest members before a row come from one ordered
-    window over slim rows; the fingerprints join afterwards.
+    window over slim rows; the fingerprints, written once, join afterwards.
     """
+    flat = written(articles.filter(F.size("minhash") > 0).select("id", group, "source_id", "published_at", "minhash"), "minhashes")
     w = Window.partitionBy(group).orderBy("published_at", "id").rowsBetween(-s.check_members, -1)
-    slim = articles.filter(F.size("minhash") > 0).select("id", group, "published_at", F.collect_list("id").over(w).alias("before"))
-    pairs = slim.select("id", F.explode("before").alias("other"))
-    flat = articles.select("id", "source_id", "minhash")
-    met = pairs.join(flat, "id").join(flat.select(F.col("id").alias("other"), F.col("source_id").alias("os"), F.col("minhash").alias("om")), "other")
+    pairs = flat.select("id", F.collect_list("id").over(w).alias("before")).select("id", F.explode("before").alias("other"))
+    met = pairs.join(flat.select("id", "source_id", "minhash"), "id").join(flat.select(F.col("id").alias("other"), F.col("source_id").alias("os"), F.col("minhash").alias("om")), "other")
     scored = met.select("id", "other", (F.col("source_id") == F.col("os")).alias("same"), fp.minhash_jaccard(F.col("minhash"), F.col("om")).alias("j")).filter(F.col("j") >= s.near_dup_jaccard)
     best = scored.groupBy("id").agg(F.min(F.struct((-F.col("j")).alias("n"), "other", "same")).alias("best"))
     return best.select("id", F.col("best.other").alias("dup_of_id"), kind(F.col("best.same"), "near_dup").alias("dup_kind"), F.round(-F.col("best.n"), 4).alias("similarity"))
@@ -98,22 +167,12 @@ def within_group(articles: DataFrame, group: str, s: Settings = DEFAULT) -> Data
 
 def to_root(dups: DataFrame) -> DataFrame:
     """(id, dup_of_id, ...) with dup_of_id chased to an article that is no duplicate, by pointer doubling: as many rounds
-    as the logarithm of the longest chain, each cut off from the one before."""
-    out, left = cut(dups), -1
+    as the logarithm of the longest chain, each written before the next."""
+    out, left = written(dups, "chase"), -1
     while left:
         hop = out.select(F.col("id").alias("__mid"), F.col("dup_of_id").alias("__up"))
         joined = out.join(hop, out.dup_of_id == hop["__mid"], "left")
-        step = cut(joined.withColumn("dup_of_id", F.coalesce("__up", "dup_of_id")).withColumn("__moved", F.col("__up").isNotNull()).drop("__mid", "__up"))
+        step = written(joined.withColumn("dup_of_id", F.coalesce("__up", "dup_of_id")).withColumn("__moved", F.col("__up").isNotNull()).drop("__mid", "__up"), "chase")
         left = step.filter("__moved").count()
         out = step.drop("__moved")
     return out
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder that the session names for checkpoints; one of our own where it names none."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir())
-    return df.checkpoint()

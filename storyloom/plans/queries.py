@@ -14,6 +14,7 @@ from ..functions import text as tx
 from ..functions import url as ux
 from ..functions import vectors as vx
 from ..operators import cluster, dedup, feed, normaliser, stories, upkeep
+from ..operators.tables import spread, written
 from ..sources import adapters as ad
 from ..sources import apis
 from ..streaming import jobs
@@ -30,7 +31,7 @@ def _joined(c: str, sep: str = " ") -> "F.Column":
 
 def q_strip_html(spark, sf):
     t = tx.strip_html("html")
-    return ad.table(spark, sf, "pages").select("page_id", F.md5(t).alias("text_md5"), F.length(t).cast("long").alias("n_chars"))
+    return spread(ad.table(spark, sf, "pages")).select("page_id", F.md5(t).alias("text_md5"), F.length(t).cast("long").alias("n_chars"))
 
 
 def _pages(spark, sf):
@@ -150,7 +151,8 @@ def q_bands(spark, sf):
 
 
 def q_lsh_pairs(spark, sf):
-    return dedup.lsh_pairs(_prints(spark, sf).select("id", "simhash")).select("a", "b", F.col("distance").cast("int").alias("distance"))
+    """Pairs of different fingerprints, each by its smallest id, and copies with the smallest id of theirs."""
+    return dedup.lsh_classes(written(_prints(spark, sf).select("id", "simhash"), "prints")).select("a", "b", F.col("distance").cast("int").alias("distance"))
 
 
 def q_near_dups(spark, sf):
@@ -217,11 +219,12 @@ def _vectors(spark, sf):
 
 
 def q_df(spark, sf):
-    return vx.document_frequencies(_counts(spark, sf))
+    """Documents by term, counting the terms that a vector keeps."""
+    return vx.document_frequencies(_vectors(spark, sf))
 
 
 def q_idf(spark, sf):
-    return vx.document_frequencies(_counts(spark, sf)).select("term", F.round(vx.idf(F.col("df"), _size(spark, sf)), 6).alias("idf"))
+    return vx.document_frequencies(_vectors(spark, sf)).select("term", F.round(vx.idf(F.col("df"), _size(spark, sf)), 6).alias("idf"))
 
 
 def q_tfidf_top192(spark, sf):
@@ -240,11 +243,14 @@ def q_term_index(spark, sf):
     return _index(spark, sf).groupBy("story_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("w"), 6).alias("sum_w"))
 
 
+ALIKE = 0.8  # cosine from which a pair is reported
+
+
 def q_cosine_pairs(spark, sf):
-    """Cosines within runs of 20 documents of a language."""
-    group = ad.articles(spark, sf).select("id", F.concat("language", F.floor(F.col("id") / 20).cast("string")).alias("g"))
-    v = _vectors(spark, sf).join(group, "id")
-    return vx.dot_products(v, v, ("g",)).filter("a < b").select("a", "b", F.round("cosine", 5).alias("cosine"))
+    """Pairs of documents of a language with a cosine of at least ALIKE; of copies the one of the smallest id."""
+    text = ad.table(spark, sf, "documents").groupBy("lang", F.md5("text").alias("h")).agg(F.min("doc_id").alias("id"))
+    v = written(_vectors(spark, sf).join(text.select("id", F.col("lang").alias("language")), "id"), "vectors")
+    return vx.similar_pairs(v, ALIKE, ("language",)).select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
 def q_candidates(spark, sf):
@@ -257,10 +263,10 @@ def q_candidates(spark, sf):
 
 def _similar(spark, sf):
     e = _entities(spark, sf).select("id", "entities")
-    t = ad.articles(spark, sf).select("id", "published_at")
+    t = _words(spark, sf).select("id", "published_at", tx.topics(F.col("content")).alias("topics"))
     p = q_cosine_pairs(spark, sf)
-    x = e.join(t, "id")
-    y = x.select(F.col("id").alias("b"), F.col("entities").alias("eb"), F.col("published_at").alias("tb"))
+    x = written(e.join(t, "id"), "about")
+    y = x.select(F.col("id").alias("b"), F.col("entities").alias("eb"), F.col("published_at").alias("tb"), F.col("topics").alias("pb"))
     return p.join(x.withColumnRenamed("id", "a"), "a").join(y, "b").withColumn("jaccard", vx.jaccard(F.col("entities"), F.col("eb")))
 
 
@@ -273,15 +279,19 @@ def q_composite_similarity(spark, sf):
 
 
 def q_assignment_score(spark, sf):
-    score = vx.assignment(vx.composite(F.col("cosine"), F.col("jaccard")), tx.hours_between(F.col("tb"), F.col("published_at")), F.lit(True))
+    score = vx.assignment(vx.composite(F.col("cosine"), F.col("jaccard")), tx.hours_between(F.col("tb"), F.col("published_at")), F.arrays_overlap("topics", "pb"))
     return _similar(spark, sf).select("a", "b", F.round(score, 5).alias("score"))
 
 
 # --- clustering ---------------------------------------------------------------------------------------------------------
 
 
+def _article_id():
+    return F.concat(F.lit("a_"), F.lpad(F.col("id").cast("string"), 12, "0"))
+
+
 def _folded(spark, sf):
-    arrived = normaliser.normalise(ad.raw_articles(spark, sf), F.col("fetched_at")).withColumn("id", F.concat(F.lit("a_"), F.lpad(F.col("id").cast("string"), 12, "0")))
+    arrived = normaliser.normalise(ad.raw_articles(spark, sf), F.col("fetched_at")).withColumn("id", _article_id())
     return cluster.place(arrived, "scalable")
 
 
@@ -295,18 +305,19 @@ def q_cluster_states(spark, sf):
 
 def q_merge_pass(spark, sf):
     folded = _folded(spark, sf)
-    placed = cluster.placements(folded).filter("status = 'created'")
-    n = placed.groupBy("story_id").agg(F.count(F.lit(1)).alias("independent_source_count"))
+    source = ad.articles(spark, sf).select(_article_id().alias("id"), "source_id")
+    placed = cluster.placements(folded).filter("status = 'created'").join(source, "id")
+    n = placed.groupBy("story_id").agg(F.count_distinct("source_id").alias("independent_source_count"))
     return cluster.merge_pass(cluster.stories(folded), n, ad.as_of(spark, sf)).select("story_id", "status", "merged_into_id", "member_count", "version")
 
 
 # --- stories and ranking --------------------------------------------------------------------------------------------------
 
 
-def _stories(spark, sf):
+def _stories(spark, sf, p=None):
     """Stand-in stories with counts, title and topics; every seventh run is merged into the one before."""
     at = ad.as_of(spark, sf)
-    p, src = ad.placed(spark, sf), ad.sources(spark, sf)
+    p, src = p or ad.placed(spark, sf), ad.sources(spark, sf)
     counts = stories.recount(p, src, at)
     about = p.groupBy("story_id").agg(F.min("language").alias("language"), F.sort_array(F.first("topics")).alias("topics"))
     run = F.element_at(F.split("story_id", "_"), 3).cast("long")
@@ -327,7 +338,7 @@ def q_velocity(spark, sf):
 
 
 def q_representative(spark, sf):
-    return stories.representatives(ad.placed(spark, sf).withColumn("summary", F.substring("body", 1, 400)), ad.sources(spark, sf)).select("story_id", "representative_article_id", F.md5("title").alias("title_md5"))
+    return stories.representatives(ad.placed(spark, sf), ad.sources(spark, sf)).select("story_id", "representative_article_id", F.md5("title").alias("title_md5"))
 
 
 def q_story_sources(spark, sf):
@@ -337,8 +348,8 @@ def q_story_sources(spark, sf):
 
 def q_story_json(spark, sf):
     at = ad.as_of(spark, sf)
-    p, src = ad.placed(spark, sf).withColumn("summary", F.substring("body", 1, 400)), ad.sources(spark, sf)
-    full = stories.with_score(_stories(spark, sf), at).join(stories.representatives(p, src).select("story_id", "title", "summary"), "story_id", "left")
+    p, src = ad.placed(spark, sf), ad.sources(spark, sf)
+    full = stories.with_score(_stories(spark, sf, p), at).join(stories.representatives(p, src).select("story_id", "title", "summary"), "story_id", "left")
     shown = p.withColumn("canonical_url", ux.canonical("url")).withColumn("author", F.lit(None).cast("string")).withColumn("similarity", F.when(F.col("dup_kind").isNotNull(), 1.0))
     return stories.to_json(full, stories.source_lists(p, src), stories.article_lists(shown, src))
 
@@ -362,8 +373,8 @@ def q_relevance(spark, sf):
     return a.select("user_id", F.round(rk.relevance(wanted, F.col("m")), 6).alias("relevance"))
 
 
-def _scored(spark, sf):
-    return stories.with_score(_stories(spark, sf), ad.as_of(spark, sf)).withColumn("score", F.round("score", 6))
+def _scored(spark, sf, p=None):
+    return stories.with_score(_stories(spark, sf, p), ad.as_of(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 def q_top_stories(spark, sf):
@@ -378,7 +389,8 @@ def q_feed_topic(spark, sf):
 def _page(spark, sf, **kw):
     at = ad.as_of(spark, sf)
     req = feed.Request(user_id=USER, limit=15, **kw)
-    return feed.page(_scored(spark, sf), ad.ledger(spark, sf, at), at, req, ad.affinity(spark, sf), ad.placed(spark, sf))
+    p = ad.placed(spark, sf)
+    return feed.page(_scored(spark, sf, p), ad.ledger(spark, sf, at), at, req, ad.affinity(spark, sf), p)
 
 
 def q_feed_page(spark, sf):
@@ -396,7 +408,8 @@ def q_feed_personalised(spark, sf):
 def q_resurface(spark, sf):
     at = ad.as_of(spark, sf)
     led = ad.ledger(spark, sf, at).withColumn("delivered_at", F.col("delivered_at") - F.expr("INTERVAL 1 HOUR"))
-    return feed.grown(_scored(spark, sf), ad.placed(spark, sf), led, USER, at).select("story_id", "independent_source_count", "seen_sources")
+    p = ad.placed(spark, sf)
+    return feed.grown(_scored(spark, sf, p), p, led, USER, at).select("story_id", "independent_source_count", "seen_sources")
 
 
 def q_replay(spark, sf):
@@ -441,7 +454,8 @@ def q_expire(spark, sf):
 
 
 def q_stats(spark, sf):
-    return stories.stats(ad.placed(spark, sf), _stories(spark, sf), ad.sources(spark, sf), ad.as_of(spark, sf))
+    p = ad.placed(spark, sf)
+    return stories.stats(p, _stories(spark, sf, p), ad.sources(spark, sf), ad.as_of(spark, sf))
 
 
 def _polled(spark, sf):

@@ -8,7 +8,7 @@ from ..config import DEFAULT as S
 from ..functions import fingerprint as fp
 from ..functions.lexicon import ENTITY_GLUE, ENTITY_NOISE, STOPWORDS, TOPICS, TRACKING_PARAMS
 from ..functions.text import ENTITIES, FOLD_FROM, FOLD_TO
-from .queries import USER
+from .queries import ALIKE, USER
 
 
 def _q(s: str) -> str:
@@ -46,7 +46,8 @@ WORDS = f"w AS (SELECT *, list_filter(words, lambda x: length(x) > 1 AND x NOT I
 HASH = f"substr(sha256({_norm(_strip('title'))} || ' ' || substr({_norm(_strip('body'))}, 1, 8000)), 1, 40)"
 _TOPIC = "CASE run % 8 " + " ".join(f"WHEN {i} THEN {_q(t)}" for i, t in enumerate(TOPICS)) + " END"
 PLACED = f"""h AS (SELECT *, {HASH} AS content_hash FROM a),
-tw AS (SELECT *, first_value(id) OVER g AS root_id, first_value(source_id) OVER g AS root_source FROM h WINDOW g AS (PARTITION BY content_hash ORDER BY published_at, id)),
+ch AS (SELECT *, sum(gap) OVER (PARTITION BY content_hash ORDER BY published_at, id) AS chain FROM (SELECT *, CASE WHEN published_at > lag(published_at) OVER (PARTITION BY content_hash ORDER BY published_at, id) + INTERVAL 168 HOURS THEN 1 ELSE 0 END AS gap FROM h)),
+tw AS (SELECT *, first_value(id) OVER g AS root_id, first_value(source_id) OVER g AS root_source FROM ch WINDOW g AS (PARTITION BY content_hash, chain ORDER BY published_at, id)),
 p0 AS (SELECT *, CASE WHEN root_id <> id THEN root_id END AS dup_of_id, CASE WHEN root_id <> id THEN CASE WHEN root_source = source_id THEN 'exact_content' ELSE 'syndicated' END END AS dup_kind, root_id // 12 AS run FROM tw),
 p AS (SELECT *, 's_' || language || '_' || run AS story_id, {_TOPIC} AS topic FROM p0)"""
 RECOUNT = f"""g0 AS (SELECT story_id, source_id, bool_or(dup_kind IS NULL) AS ind, bool_or(coalesce(dup_kind = 'syndicated', false)) AS syn, bool_or(dup_kind IS NULL AND fetched_at >= (SELECT as_of FROM clock) - INTERVAL 1 HOUR) AS fresh, count(*) FILTER (coalesce(dup_kind, '') NOT IN ('exact_url', 'exact_content', 'near_dup')) AS vis, min(published_at) AS fp, max(fetched_at) AS lf FROM p GROUP BY ALL),
@@ -108,8 +109,11 @@ SIMHASH = f"""tk AS (SELECT id, source_id, published_at, list_filter({_TITLE_WOR
 ft AS (SELECT id, unnest(t) AS f, 1 AS wt FROM tk UNION ALL SELECT id, unnest(list_filter(b, {_STOPPED})[1:400]), 2 FROM tk UNION ALL SELECT id, unnest({_GRAMS.format("b[1:600]")}), 3 FROM tk),
 fs AS (SELECT id, ('0x' || substr(md5(f), 1, 16))::UBIGINT AS h, sum(wt)::BIGINT AS wt FROM ft GROUP BY id, f),
 sh AS (SELECT tk.id, source_id, published_at, coalesce(v, 0::UBIGINT) AS simhash FROM tk LEFT JOIN (SELECT id, {" + ".join(f"(CASE WHEN sum(CASE WHEN (h >> {i}) & 1 = 1 THEN wt ELSE -wt END) > 0 THEN {1 << i}::UBIGINT ELSE 0::UBIGINT END)" for i in range(64))} AS v FROM fs GROUP BY id) USING (id))"""
-PAIRS = "pr AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.simhash, y.simhash)::BIT)::INT AS distance, x.source_id AS sa, y.source_id AS sb, x.published_at AS ta, y.published_at AS tb FROM sh x JOIN sh y ON x.id < y.id WHERE bit_count(xor(x.simhash, y.simhash)::BIT) <= 7)"
-NEAR = "nd AS (SELECT b AS id, arg_min(a, distance::BIGINT * 1000000000 + a) AS dup_of_id, min(distance) AS distance FROM pr WHERE ta >= tb - INTERVAL 168 HOURS GROUP BY b)"
+_NEARBY = "bit_count(xor(x.simhash, y.simhash)::BIT)::INT"
+NEAR = f"""sg AS (SELECT *, sum(gap) OVER (PARTITION BY simhash ORDER BY published_at, id) AS chain FROM (SELECT *, CASE WHEN published_at > lag(published_at) OVER (PARTITION BY simhash ORDER BY published_at, id) + INTERVAL 168 HOURS THEN 1 ELSE 0 END AS gap FROM sh)),
+sr AS (SELECT *, first_value(id) OVER g AS root, first_value(source_id) OVER g AS root_source, max(published_at) OVER (PARTITION BY simhash, chain) AS until FROM sg WINDOW g AS (PARTITION BY simhash, chain ORDER BY published_at, id)),
+nd AS (SELECT id, root AS dup_of_id, 0 AS distance, source_id = root_source AS same FROM sr WHERE id <> root UNION ALL
+SELECT x.id, y.id, {_NEARBY}, x.source_id = y.source_id FROM sr x JOIN sr y ON x.id = x.root AND y.id = y.root AND x.simhash <> y.simhash AND {_NEARBY} <= 7 AND (y.published_at, y.id) < (x.published_at, x.id) AND y.until >= x.published_at - INTERVAL 168 HOURS QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY {_NEARBY}, y.published_at, y.id) = 1)"""
 _MAPS = "[" + ", ".join(f"[{a}, {b}]" for a, b in zip(*(x.tolist() for x in fp.permutations("md5")), strict=True)) + "]"
 MINHASH = f"""mt AS (SELECT id, source_id, published_at, language || '_' || id // 24 AS story_id, regexp_extract_all({_norm("title || ' ' || body")}, '[a-z0-9]+')[1:400] AS b FROM a),
 mg AS (SELECT DISTINCT id, ('0x' || substr(md5(g), 1, 16))::UBIGINT % {(1 << 31) - 1} AS h FROM (SELECT id, unnest({_GRAMS.format("b")}) AS g FROM mt)),
@@ -126,10 +130,10 @@ v AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM v1)
 INDEX = f"""i0 AS (SELECT 's_' || language || '_' || id // 12 AS story_id, language, term, round(sum(w), 9) AS w FROM v JOIN (SELECT id, language FROM a) USING (id) GROUP BY ALL),
 i1 AS (SELECT * FROM i0 QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY abs(w) DESC, term) <= {S.index_terms}),
 ix AS (SELECT story_id, language, term, w / sqrt(sum(w * w) OVER (PARTITION BY story_id)) AS w FROM i1)"""
-COSINES = "gv AS (SELECT v.id, term, w, language || id // 20 AS g FROM v JOIN (SELECT id, language FROM a) USING (id)), cp AS (SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w), 5) AS cosine FROM gv x JOIN gv y ON x.g = y.g AND x.term = y.term AND x.id < y.id GROUP BY ALL)"
-SIMILAR = "sm AS (SELECT a, b, cosine, x.published_at AS ta, y.published_at AS tb, CASE WHEN len(x.entities) > 0 AND len(y.entities) > 0 THEN len(list_intersect(x.entities, y.entities)) / len(list_distinct(x.entities || y.entities)) ELSE 0 END AS jaccard FROM cp JOIN en x ON x.id = a JOIN en y ON y.id = b)"
+COSINES = f"gv AS (SELECT v.id, term, w, language FROM v JOIN (SELECT min(id) AS id, language FROM a GROUP BY language, md5(body)) USING (id)), cp AS (SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w), 5) AS cosine FROM gv x JOIN gv y ON x.language = y.language AND x.term = y.term AND x.id < y.id GROUP BY ALL HAVING round(sum(x.w * y.w), 5) >= {ALIKE})"
+SIMILAR = "sm AS (SELECT a, b, cosine, x.published_at AS ta, y.published_at AS tb, CASE WHEN len(x.entities) > 0 AND len(y.entities) > 0 THEN len(list_intersect(x.entities, y.entities)) / len(list_distinct(x.entities || y.entities)) ELSE 0 END AS jaccard, list_has_any(p.topics, q.topics) AS topical FROM cp JOIN en x ON x.id = a JOIN en y ON y.id = b JOIN tq p ON p.id = a JOIN tq q ON q.id = b)"
 _VEC = (ARTICLES, COUNTS, VECTORS)
-_SIM = (*_VEC, COSINES, ENT, SIMILAR)
+_SIM = (*_VEC, COSINES, ENT, WORDS, _TOPICS_OF, SIMILAR)
 
 _ARRIVALS = "ar AS (SELECT language || ':' || id % 211 AS url_hash, id, fetched_at, md5(source || id // 500) AS content_hash FROM a), ac AS (SELECT *, lag(content_hash) OVER k AS prev, row_number() OVER k AS n FROM ar WINDOW k AS (PARTITION BY url_hash ORDER BY fetched_at, id)), ad AS (SELECT *, n = 1 OR content_hash <> prev AS changed FROM ac)"
 _POLLED = "pl AS (SELECT c_custkey AS id, (60 + c_custkey % 3000)::INT AS iv, c_custkey % 3 AS items, c_custkey % 12 AS failures FROM customer)"
@@ -144,7 +148,7 @@ ORACLE_SQL = {
     "q_normalise_text": _with(ARTICLES) + f"SELECT id, md5({_norm('body')}) AS norm_md5 FROM a",
     "q_tokens": _with(ARTICLES, WORDS) + "SELECT token, count(*) AS n FROM (SELECT unnest(content) AS token FROM w) GROUP BY token",
     "q_token_counts": _with(ARTICLES, WORDS) + "SELECT id, len(words) AS n_words, len(content) AS n_content FROM w",
-    "q_shingles": _with(ARTICLES, WORDS) + f"SELECT id, len(list_distinct(s)) AS n_distinct, md5(array_to_string(s, ' ')) AS shingles_md5 FROM (SELECT id, {_GRAMS.format('words[1:600]')} AS s FROM w)",
+    "q_shingles": _with(ARTICLES, WORDS) + f"SELECT id, len(list_distinct(s)) AS n_distinct, md5(array_to_string(s, ' ')) AS shingles_md5 FROM (SELECT id, {_GRAMS.format('words')} AS s FROM w)",
     "q_language": _with(ARTICLES, WORDS) + f"SELECT id, {_LANGUAGE} AS detected FROM w",
     "q_topics": _with(ARTICLES, WORDS, _TOPICS_OF) + "SELECT id, array_to_string(topics, ',') AS topics FROM tq",
     "q_entities": _with(ARTICLES, ENT) + "SELECT id, len(entities) AS n, array_to_string(entities, ',') AS entities FROM en",
@@ -158,23 +162,23 @@ ORACLE_SQL = {
     "q_dup_by_kind": _with(ARTICLES, PLACED) + "SELECT coalesce(dup_kind, 'original') AS dup_kind, count(*) AS n FROM p GROUP BY ALL",
     "q_simhash_md5": _with(ARTICLES, SIMHASH) + "SELECT id, lpad(lower(hex(simhash)), 16, '0') AS simhash FROM sh",
     "q_bands": _with(ARTICLES, SIMHASH) + "SELECT band, lpad(lower(hex((simhash >> (8 * band)) & 255)), 2, '0') AS value, count(*) AS n FROM sh, (SELECT unnest(range(8))::INT AS band) GROUP BY ALL",
-    "q_lsh_pairs": _with(ARTICLES, SIMHASH, PAIRS) + "SELECT a, b, distance FROM pr",
-    "q_near_dups": _with(ARTICLES, SIMHASH, PAIRS, NEAR) + "SELECT nd.id, dup_of_id, distance, CASE WHEN x.source_id = y.source_id THEN 'near_dup' ELSE 'syndicated' END AS dup_kind, round(1.0 - distance / 64.0, 6) AS similarity FROM nd JOIN sh x ON x.id = nd.id JOIN sh y ON y.id = dup_of_id",
+    "q_lsh_pairs": _with(ARTICLES, SIMHASH, "sc AS (SELECT *, min(id) OVER (PARTITION BY simhash) AS rep FROM sh)") + f"SELECT rep AS a, id AS b, 0 AS distance FROM sc WHERE id <> rep UNION ALL SELECT x.id, y.id, {_NEARBY} FROM sc x JOIN sc y ON x.id = x.rep AND y.id = y.rep AND x.id < y.id WHERE {_NEARBY} <= 7",
+    "q_near_dups": _with(ARTICLES, SIMHASH, NEAR) + "SELECT id, dup_of_id, distance, CASE WHEN same THEN 'near_dup' ELSE 'syndicated' END AS dup_kind, round(1.0 - distance / 64.0, 6) AS similarity FROM nd",
     "q_minhash_md5": _with(ARTICLES, MINHASH) + "SELECT id, md5(array_to_string(list_transform(minhash, lambda z: lpad(lower(hex(z)), 8, '0')), '')) AS minhash_md5 FROM mh",
     "q_minhash_jaccard": _with(ARTICLES, MINHASH) + f"SELECT a, b, jaccard FROM (SELECT x.id AS a, y.id AS b, round(CASE WHEN len(x.minhash) > 0 AND len(y.minhash) > 0 THEN {_SHARED} ELSE 0 END, 6) AS jaccard FROM mh x JOIN mh y ON x.story_id = y.story_id AND x.id < y.id) WHERE jaccard > 0",
     "q_within_group_dups": _with(ARTICLES, MINHASH) + f"SELECT id, dup_of_id, CASE WHEN same THEN 'near_dup' ELSE 'syndicated' END AS dup_kind, round(j, 4) AS similarity FROM (SELECT x.id, y.id AS dup_of_id, x.source_id = y.source_id AS same, {_SHARED} AS j FROM mh x JOIN mh y ON x.story_id = y.story_id AND y.id < x.id AND len(x.minhash) > 0 AND len(y.minhash) > 0) WHERE j >= 0.45 QUALIFY row_number() OVER (PARTITION BY id ORDER BY j DESC, dup_of_id) = 1",
-    "q_dup_roots": "WITH RECURSIVE " + ", ".join((ARTICLES, SIMHASH, PAIRS, NEAR)) + ", up(id, dup_of_id, n) AS (SELECT id, dup_of_id, 0 FROM nd UNION ALL SELECT up.id, nd.dup_of_id, n + 1 FROM up JOIN nd ON up.dup_of_id = nd.id) SELECT id, arg_max(dup_of_id, n) AS dup_of_id FROM up GROUP BY id",
+    "q_dup_roots": "WITH RECURSIVE " + ", ".join((ARTICLES, SIMHASH, NEAR)) + ", up(id, dup_of_id, n) AS (SELECT id, dup_of_id, 0 FROM nd UNION ALL SELECT up.id, nd.dup_of_id, n + 1 FROM up JOIN nd ON up.dup_of_id = nd.id) SELECT id, arg_max(dup_of_id, n) AS dup_of_id FROM up GROUP BY id",
     "q_revision_fold": _with(ARTICLES, _ARRIVALS) + "SELECT url_hash, arg_min(id, n) AS id, count(*) FILTER (changed) AS revision, count(*) FILTER (NOT changed) AS replays, min(fetched_at) AS first_seen, max(fetched_at) FILTER (changed) AS updated_at, arg_max(content_hash, n) AS content_hash FROM ad GROUP BY url_hash",
     "q_idempotent_upsert": "SELECT user_id, coalesce(min(event_id) FILTER (event_type = 'click'), min(event_id)) AS event_id FROM events GROUP BY user_id",
-    "q_df": _with(ARTICLES, COUNTS) + "SELECT term, count(*) AS df FROM ct GROUP BY term",
-    "q_idf": _with(ARTICLES, COUNTS) + "SELECT term, round(ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1.0)) + 1, 6) AS idf FROM ct GROUP BY term",
+    "q_df": _with(*_VEC) + "SELECT term, count(*) AS df FROM v GROUP BY term",
+    "q_idf": _with(*_VEC) + "SELECT term, round(ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1.0)) + 1, 6) AS idf FROM v GROUP BY term",
     "q_tfidf_top192": _with(*_VEC) + "SELECT id, count(*) AS terms, round(sum(w), 6) AS sum_w, round(max(w), 6) AS max_w FROM v GROUP BY id",
     "q_term_index": _with(*_VEC, INDEX) + "SELECT story_id, count(*) AS terms, round(sum(w), 6) AS sum_w FROM ix GROUP BY story_id",
     "q_cosine_pairs": _with(*_VEC, COSINES) + "SELECT a, b, cosine FROM cp",
     "q_candidates": _with(*_VEC, INDEX) + f", q0 AS (SELECT id, term, round(w, 9) AS w FROM v), q1 AS (SELECT * FROM q0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(w) DESC, term) <= {S.query_terms}), q2 AS (SELECT q1.*, language FROM q1 JOIN (SELECT id, language FROM a) USING (id)), q3 AS (SELECT q2.id AS a, story_id, sum(q2.w * ix.w) AS partial FROM q2 JOIN ix USING (language, term) GROUP BY q2.id, story_id QUALIFY row_number() OVER (PARTITION BY q2.id ORDER BY round(sum(q2.w * ix.w), 9) DESC, story_id) <= {S.candidates}) SELECT a, count(*) AS stories, round(max(partial), 5) AS best FROM q3 GROUP BY a",
     "q_jaccard_entities": _with(*_SIM) + "SELECT a, b, round(jaccard, 6) AS jaccard FROM sm WHERE jaccard > 0",
     "q_composite_similarity": _with(*_SIM) + "SELECT a, b, round(0.70 * cosine + 0.30 * jaccard, 6) AS similarity FROM sm",
-    "q_assignment_score": _with(*_SIM) + "SELECT a, b, round((0.70 * cosine + 0.30 * jaccard) * (1 + 0.10 * exp(-abs((epoch_us(tb) - epoch_us(ta)) / 3.6e9) / 12.0)) * 1.04, 5) AS score FROM sm",
+    "q_assignment_score": _with(*_SIM) + "SELECT a, b, round(least(1.0, (0.70 * cosine + 0.30 * jaccard) * (1 + 0.10 * exp(-abs((epoch_us(tb) - epoch_us(ta)) / 3.6e9) / 12.0)) * CASE WHEN topical THEN 1.04 ELSE 1.0 END), 5) AS score FROM sm",
     "q_recount": "WITH " + ALL + " SELECT story_id, article_count, independent_source_count, syndicated_source_count FROM rc",
     "q_authority": "WITH " + ALL + " SELECT story_id, round(authority, 3) AS authority FROM rc",
     "q_velocity": "WITH " + ALL + " SELECT story_id, velocity FROM rc WHERE velocity > 0",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.lexicon import TOPICS
 from ..operators import dedup
+from ..operators.tables import spread, written
 
 EPOCH = datetime(2024, 1, 1)
 STEP_S = 97  # between two documents
@@ -27,7 +28,7 @@ def as_of(spark: SparkSession, sf_dir: str) -> Column:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     when = F.expr(f"TIMESTAMP_NTZ '{EPOCH:%Y-%m-%d}' + make_dt_interval(0, 0, 0, doc_id * {STEP_S})")
     url = F.concat(F.lit("https://www."), "source", F.lit(".example.com/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
     return d.select(
@@ -46,9 +47,10 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with content hash, duplicate kind and a stand-in story: runs of STORY_RUN originals of a language."""
-    a = articles(spark, sf_dir).withColumn("content_hash", tx.content_hash("title", "body"))
-    a = dedup.exact_content(a)
+    """Articles without their bodies, with content hash, duplicate kind and a stand-in story: runs of STORY_RUN originals
+    of a language. Texts are read and hashed once."""
+    a = articles(spark, sf_dir).withColumn("content_hash", tx.content_hash("title", "body")).withColumn("summary", F.substring("body", 1, 400)).drop("body")
+    a = dedup.exact_content(written(a, "hashed"))
     run = F.floor(F.coalesce("dup_of_id", "id") / STORY_RUN).cast("long")
     names = F.array(*map(F.lit, TOPICS))
     return a.withColumn("story_id", F.concat(F.lit("s_"), "language", F.lit("_"), run.cast("string"))).withColumn("topics", F.array(F.element_at(names, (F.pmod(run, F.lit(len(TOPICS))) + 1).cast("int"))))
