@@ -124,6 +124,7 @@ def language(all_words: Column) -> Column:
     return F.when((F.size(head) > 0) & (hits / F.greatest(F.size(head), F.lit(1)) > 0.06), "en").otherwise("und")
 
 
+# Patterns of names, acronyms and numbers.
 _CAPS = r"\b[A-Z][a-zA-Z]{2,}(?:\s+(?:of|the|de|and|for|und)?\s*[A-Z][a-zA-Z]{2,}){0,3}\b"
 _ACRONYM = r"\b[A-Z]{2,6}\b"
 _NUMBER = r"\b\d+(?:[.,]\d+)?\b"
