@@ -80,6 +80,38 @@ def test_lsh_pairs_are_complete(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("agree", [1, 2, 3])
+def test_near_fingerprints_meet_without_a_broadcast(spark, monkeypatch, agree):
+    import random
+
+    monkeypatch.setattr(dedup, "AGREE", ((None, agree),))
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    values = base + [b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 9))) for b in base for _ in range(4)]
+    rows = [(i, i % 3, AS_OF + timedelta(hours=7 * i), v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)]
+    classes, near = dedup.lsh_classes(spark.createDataFrame([(r[0], r[3]) for r in rows], "id long, simhash long")), dedup.near_duplicates(spark.createDataFrame(rows, "id long, source_id long, published_at timestamp_ntz, simhash long"))
+    # A key's rows are a hundred times those of its table, which a plan's estimate does not see.
+    assert "BroadcastExchange" not in near._jdf.queryExecution().executedPlan().toString()
+    first = {v: i for i, v in reversed(list(enumerate(values)))}
+    want = sorted((first[v], i, 0) for i, v in enumerate(values) if first[v] != i)
+    want += sorted((i, j, d) for j in first.values() for i in first.values() if i < j and (d := (values[i] ^ values[j]).bit_count()) <= 7)
+    assert sorted(tuple(r) for r in classes.collect()) == sorted(want)
+    heads = {}  # the chain of each value: its rows within a week after one before
+    for i, v in enumerate(values):
+        runs = heads.setdefault(v, [])
+        if runs and 7 * (i - runs[-1][-1]) <= 168:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    chains = [(r[0], r[-1], v) for v, runs in heads.items() for r in runs]
+    told = {i: (r[0], 0) for runs in heads.values() for r in runs for i in r[1:]}
+    for i, _, v in chains:
+        met = [(d, j) for j, last, w in chains if w != v and j < i and 7 * (i - last) <= 168 and (d := (v ^ w).bit_count()) <= 7]
+        if met:
+            told[i] = min(met)[::-1]
+    assert {r.id: (r.dup_of_id, r.distance) for r in near.collect()} == told
+
+
 def _stories(spark, n=12):
     rows = [(f"s_{i:02}", "active" if i != 5 else "archived", "en" if i % 2 else "fr", ["science" if i % 3 == 0 else "sport"], i % 4 + 1, round(0.9 - (i // 2) / 20, 6), AS_OF - timedelta(hours=i), 1, None) for i in range(n)]
     return spark.createDataFrame(rows, "story_id string, status string, language string, topics array<string>, independent_source_count int, score double, last_activity_at timestamp_ntz, version int, merged_into_id string")

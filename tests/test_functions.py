@@ -107,6 +107,15 @@ def test_simhash_is_calibrated():
     assert [popcount(fp.simhash(*WIRE, "md5"), fp.simhash(*x, "md5")) for x in (REWRITTEN, SAME_EVENT, OTHER_EVENT)] == [13, 34, 32]
 
 
+def test_memos_of_hashes_are_bounded(monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
+    plain = [(fp.simhash("", t), fp.minhash("", t)) for t in texts]
+    monkeypatch.setattr(fp, "MEMO", 200)
+    one, two = {}, {}
+    assert [(fp.simhash("", t, memo=one), fp.minhash("", t, memo=two)) for t in texts] == plain
+    assert max(len(one), len(two)) <= 200 + 2 * 60
+
+
 def test_minhash_is_calibrated(spark):
     share = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / 64
     m = [fp.minhash(*x) for x in (WIRE, REWRITTEN, SAME_EVENT, OTHER_EVENT)]
