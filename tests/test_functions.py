@@ -163,6 +163,30 @@ def test_vectors(spark):
     assert (row.c, row.j, row.z) == (pytest.approx(0.8), 0.5, 0.0)
 
 
+def test_whole_vectors_find_the_pairs_of_exploded_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i:03}" for i in range(400)]
+    docs = [rng.choices(words, k=rng.randint(1, 60)) for _ in range(30)]
+    docs += [[w if rng.random() < 0.93 else rng.choice(words) for w in rng.choice(docs)] for _ in range(90)] + [[], None, ["alone"], ["alone", "w001"]]
+    rows = [(i, (d or [])[:3] if d is not None else None, d, "en" if i % 9 else "fr") for i, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "id long, t array<string>, b array<string>, language string").repartition(3).cache()
+    want = vectors.term_counts(df, "id", "t", "b")
+    got = vectors.counted(df, "id", "t", "b").select("id", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("id", "x.terms", F.col("x.tf").cast("double"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    language = df.select("id", "language")
+    plain = vectors.similar_pairs(vectors.tfidf(want, len(rows)).join(language, "id"), 0.5, ("language",)).collect()
+    monkeypatch.setattr(vectors, "GROUP", 20)  # many groups
+    counts = vectors.hashed(vectors.counted(df, "id", "t", "b")).join(language, "id")
+    v, rarities = vectors.whole_vectors(counts, vectors.common_terms(counts), len(rows))
+    v = v.cache()
+    found = vectors.similar_wholes(v, rarities, 0.5, ("language",))
+    tell = lambda rs: sorted((r.a, r.b, round(r.cosine, 9)) for r in rs)
+    assert len(plain) > 50 and tell(found.collect()) == tell(plain)
+    some = vectors.similar_wholes(v, rarities, 0.5, ("language",), df.filter("id % 2 = 0"))
+    assert tell(some.collect()) == tell([r for r in plain if r.a % 2 == r.b % 2 == 0])
+    assert vectors.similar_wholes(v.filter("id < 0"), rarities, 0.5, ("language",)).count() == 0
+
+
 def test_ranking(spark):
     now, at = F.lit(datetime(2026, 1, 10, 12)), lambda h: F.lit(datetime(2026, 1, 10, 12 - h))
     r = lambda e, a: rank.recency(now, at(e), at(a))
