@@ -175,6 +175,13 @@ def test_line_removals_match_brute_force(spark, sf):
     assert {tuple(r) for r in got} == {w for w in want if w[3] >= queries.PASSAGE}
 
 
+def test_line_query_returns_short_repeats(spark, tmp_path):
+    rows = [(1, "own words\na line that repeats alone\nmore"), (2, "x\nA line  that repeats alone\ny"), (3, "z z z\ny")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(2, 2, 26, 5, 1), (3, 6, 1, 1, 2)}
+
+
 def test_line_removals_odd_rows(spark):
     spans = line_dedup.removals(odd_docs(spark).withColumn("words", F.lit(1)).withColumn("rank", F.lit("x")))
     got = sorted(((r.doc_id, r.start, r.length, r.first_doc_id) for r in spans.collect()), key=str)
