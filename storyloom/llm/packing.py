@@ -29,7 +29,8 @@ SHARD = 1 << 24  # documents' remainders that are packed together at most
 # The byte-level pre-tokeniser's pattern for texts of Latin letters; any other text goes to the library whole.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ʯ]+| ?[0-9²³¹¼-¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ʯ0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\t\n\r -~¡-ʯ‘-”–—…€]*")
-_MEMO = 400_000  # pieces of a generation that a worker remembers; it holds two generations
+_MEMO = 100_000  # pieces of a generation that a worker remembers; it holds two generations, 30 MB at most of usual words
+OUT_BYTES = 1 << 20  # ids of a batch of pieces, at which it is handed over
 
 
 def _byte_letters() -> dict[int, str]:
@@ -152,6 +153,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, id_col: str = "d
         rest: list[tuple] = []
         rows: list[tuple] = []
         step = capacity * 4
+        most = max(1, OUT_BYTES // step) if with_ids else 4096
+        pa.default_memory_pool().release_unused()  # a worker that ran other operators holds on to their batches
 
         def flush():
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
@@ -167,7 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, id_col: str = "d
                 at = offsets.get(s, 0)
                 offsets[s] = at + n
                 rows.append((key, before + start, n, zlib.crc32(part), total, base + sequences + s, at, part if with_ids else None))
-                if len(rows) >= 4096:
+                if len(rows) >= most:
                     yield flush()
             sequences += len(offsets)
             rest.clear()
@@ -184,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, id_col: str = "d
                     rest.append((key, whole // 4, ids[whole:], total))
                 if len(rest) >= SHARD // capacity:
                     yield from packed()
-                if len(rows) >= 4096:
+                if len(rows) >= most:
                     yield flush()
         yield from packed()
         if rows:

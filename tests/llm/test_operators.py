@@ -3,6 +3,7 @@
 import html
 import itertools
 import math
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -234,6 +235,14 @@ def library_ids(texts):
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+def test_encoder_remembers_in_bounded_memory():
+    tool = packing.Encoder(queries.tokenizer_path())
+    for start in range(0, 450_000, 1000):
+        tool.encode(" ".join(f"w{i}" if i % 2 else "the" for i in range(start, start + 1000)) + " " + " ".join(format(i, "o").translate(str.maketrans("01234567", "abcdefgh")) for i in range(start, start + 1000)))
+    held = sum(sys.getsizeof(x) + sum(map(sys.getsizeof, x)) + sum(map(sys.getsizeof, x.values())) for x in (tool.young, tool.old))
+    assert held < 48 << 20
+
+
 def check_packing(docs, rows, with_ids=True):
     by = defaultdict(list)
     for d, ids in zip(docs, library_ids([t for _, t in docs]), strict=True):
