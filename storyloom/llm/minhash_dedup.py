@@ -67,6 +67,11 @@ def odd_sketch(samples: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
+def _flips(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The population counts of the XOR of odd sketches; of signed numbers numpy would count the magnitude's bits."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+
+
 def differing_bits(similarity: float, samples: int = BANDS * ROWS, bits: int = BITS) -> float:
     """The expected population count of the XOR of two odd sketches."""
     flips = 2 * samples * (1 - similarity)
@@ -142,9 +147,6 @@ def _likely(tiles: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     coarse = math.floor(differing_bits(threshold - MARGIN))
     fine = math.floor(differing_bits(threshold - FINE_MARGIN, FINE, FINE_BITS))
 
-    def flips(x, y):
-        return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
-
     def compare(t: pa.Table) -> pa.RecordBatch:
         col = {c: t[c].combine_chunks() for c in ("node", "component", "n", "bands", "odd", "fine", "block")}
         wide = {c: np.asarray(col[c].flatten()).reshape(t.num_rows, -1) for c in ("bands", "odd", "fine")}
@@ -161,9 +163,9 @@ def _likely(tiles: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             x, y = np.nonzero(open_ & (lo >= hi * (threshold - 1e-9)))
             x, y = r[x], cols[y]
             for ok in (
-                lambda x, y: flips(wide["odd"][x], wide["odd"][y]) <= coarse,
+                lambda x, y: _flips(wide["odd"][x], wide["odd"][y]) <= coarse,
                 lambda x, y: ~(wide["bands"][x, :band] == wide["bands"][y, :band]).any(axis=1),
-                lambda x, y: flips(wide["fine"][x], wide["fine"][y]) <= fine,
+                lambda x, y: _flips(wide["fine"][x], wide["fine"][y]) <= fine,
             ):
                 good = ok(x, y)
                 x, y = x[good], y[good]

@@ -84,6 +84,27 @@ def test_near_duplicates_join_across_stars(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_duplicates_in_families_of_loose_copies(spark):
+    """Copies that are near each other, but not near the smallest of their buckets, all hang together."""
+    rng = np.random.default_rng(11)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for _ in range(4):
+        base = list(rng.choice(words, 60))
+        for _ in range(60):
+            rows.append(" ".join(rng.choice(words) if rng.random() < 0.06 else w for w in base))
+    rows = list(enumerate(rows[i] for i in rng.permutation(len(rows))))
+    sets = {i: shingles(t, 2) for i, t in rows}
+    want = groups_by_links(sets, linked(sets, 80))
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_odd_sketch_flips_count_all_bits():
+    x = np.array([[0, 5], [-1, 1 << 62]], dtype=np.int64)
+    y = np.array([[-(1 << 63), 5], [0, -1]], dtype=np.int64)
+    assert minhash_dedup._flips(x, y).tolist() == [1, 64 + 63]
+
+
 def test_near_duplicates_of_rows_that_share_an_id(spark):
     a, b = ("a b c d e f g h i j k l", "q w e r t y u i o p l k j h g f d s a z x c v b n m")
     rows = [(5, a), (5, b), (2, b + " end"), (7, a.upper()), (None, a), (None, "solo text"), (None, "solo text"), (9, b), (9, b)]
