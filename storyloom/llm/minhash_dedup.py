@@ -6,8 +6,9 @@ differ, which rules out candidates far below the threshold; what remains is conf
 
 Where a group hangs together, work stays linear: a bucket first compares its members with its smallest one only. Pairs
 of members are compared only in buckets whose members then still lie in different components, only across components,
-and in the first band they share; for those, longer odd sketches leave over little more than true links. No link between
-components can be lost this way, as a pair in one component adds nothing to it.
+and in the first band they share. Longer odd sketches tell which members of a bucket may link with another one there;
+the full sets of these meet in the bucket and are compared in place, so that rows are members or links of a forest, never
+pairs. No link between components can be lost this way, as a pair in one component adds nothing to it.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ BITS = 1024  # of an odd sketch
 MARGIN = 0.13  # how far below the threshold an estimate must lie to rule a pair out: five standard errors
 FINE = 2048  # samples of the longer sketches
 FINE_BITS = 8192
-BLOCK = 1024  # rows of a bucket that are compared with as many others at a time
+BLOCK = 2048  # rows of a bucket that are compared with as many others at a time
 BROADCAST_IDS = 500_000  # ids up to which the texts they need are found by a broadcast
 FINE_MARGIN = 0.05  # five standard errors of the longer sketches
+SHINGLES = 1 << 21  # of the sets that a block of full sets holds, about
 
 def _maps(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
@@ -133,27 +135,61 @@ def _fine_sketches(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """Rows (key, m, band, node, component) of buckets of m rows as (key, i, j, block, ...): a bucket of many blocks is
-    dealt into pairs of blocks, so that a task holds two blocks of BLOCK rows at most."""
-    dealt = rows.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
+    """Rows (key, m, shingles, band, node, component) of buckets of m rows and so many shingles as (key, i, j, block, ...):
+    a bucket of many blocks is dealt into pairs of blocks, so that a task holds two blocks of BLOCK rows and SHINGLES
+    shingles at most, or little more."""
+    dealt = rows.withColumn("blocks", F.ceil(F.greatest(F.col("m") / F.lit(BLOCK), F.col("shingles") / F.lit(SHINGLES))).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     return dealt.withColumn("tile", F.explode(pairs)).select("key", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "block", "band", "node", "component")
 
 
+def _by_tile(rows: DataFrame, compare, schema: str) -> DataFrame:
+    """What compare makes of the rows (key, i, j, ...) of each tile: a function of a table that gives a record batch."""
+
+    def run(it):
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def done():
+            t = pa.Table.from_batches(held)
+            held.clear()
+            return [compare(t)] if t.num_rows > 1 else []
+
+        for batch in it:
+            marks = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
+            start = 0
+            for at, mark in enumerate(marks):
+                if mark != last:
+                    if at > start:
+                        held.append(batch.slice(start, at - start))
+                    if held:
+                        yield from done()
+                    start, last = at, mark
+            held.append(batch.slice(start))
+        if held:
+            yield from done()
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def _wide(t: pa.Table, column: str) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    return np.asarray(t[column].combine_chunks().flatten()).reshape(t.num_rows, -1)
+
+
 def _likely(tiles: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share a bucket and may reach threshold by their sizes and both
-    odd sketches, each in the first band it shares. nodes has (node, n, bands, odd, fine)."""
+    """(key, band, node, component, n) of the members of a bucket that meet in it, as the first band they share, one of
+    another component which they may match by sizes and both odd sketches. nodes has (node, n, bands, odd, fine)."""
     coarse = math.floor(differing_bits(threshold - MARGIN))
     fine = math.floor(differing_bits(threshold - FINE_MARGIN, FINE, FINE_BITS))
 
     def compare(t: pa.Table) -> pa.RecordBatch:
-        col = {c: t[c].combine_chunks() for c in ("node", "component", "n", "bands", "odd", "fine", "block")}
-        wide = {c: np.asarray(col[c].flatten()).reshape(t.num_rows, -1) for c in ("bands", "odd", "fine")}
-        node, component, n, block = (np.asarray(col[c]) for c in ("node", "component", "n", "block"))
+        wide = {c: _wide(t, c) for c in ("bands", "odd", "fine")}
+        component, n, block = (np.asarray(t[c].combine_chunks()) for c in ("component", "n", "block"))
         band, i, j = t["band"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
         rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
+        met = np.zeros(t.num_rows, dtype=bool)
         for s in range(0, len(rows), 64):  # a strip of pairs at a time
             r = rows[s : s + 64]
             open_ = component[r][:, None] != component[cols][None]
@@ -169,36 +205,54 @@ def _likely(tiles: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             ):
                 good = ok(x, y)
                 x, y = x[good], y[good]
-            a.append(np.maximum(node[x], node[y]))
-            b.append(np.minimum(node[x], node[y]))
-        empty = np.empty(0, dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *a])), pa.array(np.concatenate([empty, *b]))], names=["a", "b"])
+            met[x] = met[y] = True
+        return t.select(names).filter(pa.array(met)).combine_chunks().to_batches()[0] if met.any() else none
 
-    def run(it):
-        held: list[pa.RecordBatch] = []
-        last = None
+    names = ["key", "band", "node", "component", "n"]
+    none = pa.RecordBatch.from_arrays([pa.array([], pa.int32() if c == "band" else pa.int64()) for c in names], names=names)
+    return _by_tile(tiles.join(nodes, "node"), compare, "key long, band int, node long, component long, n long").distinct()
 
-        def done():
-            t = pa.Table.from_batches(held)
-            held.clear()
-            return [compare(t)] if t.num_rows > 1 else []
 
-        for batch in it:
-            marks = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
-            start = 0
-            for at, mark in enumerate(marks):
-                if mark != last:
-                    if at > start:
-                        held.append(batch.slice(start, at - start))
-                    if held:
-                        yield from done()
-                    start, last = at, mark
-            held.append(batch.slice(start))
-        if held:
-            yield from done()
+def _forest(tiles: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links between members of a bucket that connect all that is linked in it beyond its components, found on
+    their full shingle sets. Two members are compared in the first band they share, unless links found in the tile already
+    connect them, the likeliest first; odd sketches rule others out. nodes has (node, n, bands, odd, text).
+    """
+    threshold = percent / 100
+    coarse = math.floor(differing_bits(threshold - MARGIN))
 
-    full = tiles.join(nodes, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return full.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        bands, odd = _wide(t, "bands"), _wide(t, "odd")
+        node, label, n, block = (np.array(t[c].combine_chunks()) for c in ("node", "component", "n", "block"))
+        band, i, j = t["band"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
+        sets = [shingle_set(x.cast(pa.binary()).as_py(), words) for x in t["text"]]
+        ends = np.cumsum([0, *map(len, sets)])
+        numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]  # of all shingles, end to end
+        sets.clear()
+        mine = np.zeros(len(numbers), dtype=bool)
+        cols = np.flatnonzero(block == j)
+        a, b = [], []
+        for r in np.flatnonzero(block == i):
+            y = cols[cols > r] if i == j else cols
+            y = y[(label[y] != label[r]) & (np.minimum(n[y], n[r]) >= np.maximum(n[y], n[r]) * (threshold - 1e-9))]
+            y = y[~(bands[y, :band] == bands[r, :band]).any(axis=1)]
+            flips = _flips(odd[y], odd[r])
+            y = y[np.argsort(flips, kind="stable")][: np.count_nonzero(flips <= coarse)]
+            if not len(y):
+                continue
+            own = numbers[ends[r] : ends[r + 1]]
+            mine[own] = True
+            for o in y:
+                if label[o] != label[r]:
+                    both = np.count_nonzero(mine[numbers[ends[o] : ends[o + 1]]])
+                    if 100 * both >= percent * (n[o] + n[r] - both):
+                        label[label == label[o]] = label[r]
+                        a.append(max(node[o], node[r]))
+                        b.append(min(node[o], node[r]))
+            mine[own] = False
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _by_tile(tiles.join(nodes, "node"), compare, "a long, b long").distinct()
 
 
 def _texts_of(ids: DataFrame, nodes: DataFrame, texts: DataFrame, own: bool) -> DataFrame:
@@ -284,7 +338,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     def still_open(place: DataFrame) -> DataFrame:
         """Members, with their components, of buckets that hold more than one component, and the buckets' sizes."""
         placed = members.join(place, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m")
+        keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m", F.lit(0).alias("shingles"))
         return materialise(placed.select("key", "band", "node", "component").join(keys, "key"), "open")
 
     def joined(place: DataFrame, links: DataFrame) -> DataFrame:
@@ -305,14 +359,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     fine = materialise(_fine_sketches(texts_of(wanted), words), "fine")
     # Half of a band's key tells shared bands well enough: a wrong match has a probability of 1e-8.
     slim = nodes.select("node", "n", F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("bands"), "odd")
-    likely = _likely(_tiles(rows), slim.join(fine, "node"), threshold)
-    links = _confirmed(likely, texts_of, words, percent)
+    likely = materialise(_likely(_tiles(rows), slim.join(fine, "node"), threshold), "likely")
+    near = materialise(likely.select("node").distinct(), "ids")
+    sized = likely.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
+    links = materialise(_forest(_tiles(likely.join(sized, "key")), slim.join(texts_of(near), "node"), words, percent), "links")
     place = joined(place, links)
 
     placed = nodes.select("node", "digest", F.struct("none", "id", "row").alias("least")).join(place, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = placed.groupBy("component").agg(F.min("least").alias("best"))
     placed = materialise(placed.join(best, "component").select("digest", "best"), "placed")
-    discard(links, rows, members, buckets, nodes, fine, wanted, place)
+    discard(links, likely, near, rows, members, buckets, nodes, fine, wanted, place)
     out = all_rows.filter("n > 0").join(placed, "digest").select("id", "row", "n", F.col("best.id").alias("component"), (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("row") == F.col("best.row"))).alias("first"))
     out = out.unionByName(all_rows.filter("n = 0").select("id", "row", "n", F.col("id").alias("component"), F.lit(True).alias("first")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull()).alias("kept"), "row", "first")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.llm import embedding_dedup, html_text, licenses, line_dedup, minhash_dedup, packing, poisson_mix, quality, queries, secrets, topk
+from storyloom.llm import _common, embedding_dedup, html_text, licenses, line_dedup, minhash_dedup, packing, poisson_mix, quality, queries, secrets, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, node long, `key` long"
 ODD_TEXTS = [None, "", " \t\n ", "one", "two words", "a b c d e f g h i j", "a b c d e f g h i j", "A B c d e f g h i j", "é " * 50, "x" * 200_000, "long text " * 30_000]
@@ -99,6 +99,28 @@ def test_near_duplicates_in_families_of_loose_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_duplicates_write_no_pairs_of_a_loose_family(spark, monkeypatch):
+    """What is written for copies that are near each other and hardly ever linked stays members of buckets and a forest of
+    links, not the square of their number."""
+    rng = np.random.default_rng(11)
+    words, written = [f"w{i}" for i in range(3000)], []
+
+    def counted(df, label):
+        out = _common.materialise(df, label)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "materialise", counted)
+    base = list(rng.choice(words, 100))
+    rows = [(i, " ".join(rng.choice(words) if rng.random() < 0.066 else w for w in base)) for i in range(300)]
+    sets = {i: shingles(t, 2) for i, t in rows}
+    links = linked(sets, 80)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == groups_by_links(sets, links)
+    print(len(links), written)
+    assert sum(n for label, n in written if label in ("pairs", "links")) < 8 * len(rows)
+
+
 def test_odd_sketch_flips_count_all_bits():
     x = np.array([[0, 5], [-1, 1 << 62]], dtype=np.int64)
     y = np.array([[-(1 << 63), 5], [0, -1]], dtype=np.int64)
