@@ -60,6 +60,18 @@ def test_scalable_mode_keeps_the_stories(spark, demo):
     assert cluster.placements(folded).count() == 22 and cluster.stories(folded).count() == 6
 
 
+def test_plans_of_scalable_mode_do_not_grow_with_spans(spark, demo):
+    raw = spark.createDataFrame(raw_articles(), schema.RAW_ARTICLE + ", id string, fetched_at timestamp_ntz")
+    arrived = normaliser.normalise(raw, NOW).cache()
+    tables = []
+    for days in (0, 3):
+        later = F.make_dt_interval(F.pmod(F.crc32("id"), F.lit(5)).cast("int") * days)
+        folded = cluster.place(arrived.withColumn("fetched_at", F.col("fetched_at") + later), "scalable")
+        assert cluster.placements(folded).count() == 22
+        tables.append(folded._jdf.queryExecution().analyzed().toString().count("Relation ["))
+    assert 0 < tables[0] == tables[1]
+
+
 def test_normaliser_rejects_and_clamps(spark):
     rows = [(1, "https://a.com/1", "Short", "b", None, None, None, None, None), (1, " ", "A title long enough", "b", None, None, None, None, None), (1, "a.com/2", "A title <b>long</b> enough", "", "From the summary", None, AS_OF + timedelta(hours=3), None, None), (1, "a.com/3", "A title long enough", "x" * 30_000, "", None, AS_OF + timedelta(hours=1), None, None)]
     got = normaliser.normalise(spark.createDataFrame(rows, schema.RAW_ARTICLE), NOW).orderBy("url").collect()
