@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom import schema
+from storyloom.config import Settings
 from storyloom.operators import cluster, dedup, feed, normaliser, stories, upkeep
 from storyloom.sources import apis
 from storyloom.streaming import jobs
@@ -92,6 +93,30 @@ def test_lsh_pairs_are_complete(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("stories_a_task, repeated", [(1 << 16, False), (7, False), (7, True)])
+def test_candidate_stories_are_those_of_all_pairs_and_no_row_is_made_of_a_pair(spark, monkeypatch, stories_a_task, repeated):
+    import random
+
+    monkeypatch.setattr(cluster, "STORIES", stories_a_task)
+    monkeypatch.setattr(cluster, "QUERIES", 5)
+    rng = random.Random(4)
+    some = lambda n: {t: rng.choice((0.25, 0.5, 0.75)) for t in rng.sample([f"w{i}" for i in range(30)], n)}  # many ties
+    asked = [(i, "fr" if i % 5 == 0 else "en", some(rng.randint(1, 4))) for i in range(60)] + [(90, "de", some(3)), (91, "en", {"alone": 1.0}), (92, None, some(3))]
+    asked += [(0, "fr", some(2)), (1, "fr", some(2)), (7, "en", asked[7][2])] if repeated else []
+    kept = [(f"s_{i}", "fr" if i % 4 == 0 else "en", some(rng.randint(1, 5))) for i in range(50)] + [("s_es", "es", some(4)), ("s_none", None, some(4))]
+    frame = lambda rows, name: spark.createDataFrame([(*r[:2], list(r[2]), list(r[2].values())) for r in rows], f"{name}, language string, terms array<string>, w array<double>")
+    sums = {}
+    for i, x, q in asked:
+        for name, y, v in kept:
+            if x is not None and x == y and q.keys() & v.keys():
+                sums.setdefault(i, {}).setdefault(name, 0.0)
+                sums[i][name] += sum(q[t] * v[t] for t in q.keys() & v.keys())
+    want = sorted((i, name, round(p, 9)) for i, all_ in sums.items() for name, p in sorted(all_.items(), key=lambda e: (-round(e[1], 9), e[0]))[:6])
+    got = cluster.candidate_stories(frame(asked, "id long"), frame(kept, "story_id string"), Settings(candidates=6))
+    assert len(want) > 200 and sorted((r.a, r.story_id, round(r.partial, 9)) for r in got.collect()) == want
+    assert "term#" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("agree", [1, 2, 3])
 def test_near_fingerprints_meet_without_a_broadcast(spark, monkeypatch, agree):
     import random
