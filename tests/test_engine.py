@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from storyloom import schema
 from storyloom.config import Settings
-from storyloom.operators import cluster, dedup, feed, normaliser, stories, upkeep
+from storyloom.operators import cluster, dedup, feed, normaliser, stories, tables, upkeep
 from storyloom.sources import apis
 from storyloom.streaming import jobs
 
@@ -93,6 +93,14 @@ def test_lsh_pairs_are_complete(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_tables_are_written_in_short_batches(spark):
+    sizes = F.pandas_udf(lambda x: x * 0 + len(x), "long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    got = tables.written(spark.range(0, 5000, 1, 1).select(sizes("id").alias("n")), "batches").agg(F.max("n"), F.count("n")).first()
+    assert tuple(got) == (tables.BATCH, 5000) and spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("stories_a_task, repeated", [(1 << 16, False), (7, False), (7, True)])
 def test_candidate_stories_are_those_of_all_pairs_and_no_row_is_made_of_a_pair(spark, monkeypatch, stories_a_task, repeated):
     import random
