@@ -105,10 +105,17 @@ PAGES = f"pg AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path, {_QUERY} AS q
 _GRAMS = "CASE WHEN len({0}) >= 3 THEN list_transform(range(1, len({0}) - 1), lambda i: {0}[i] || '_' || {0}[i + 1] || '_' || {0}[i + 2]) WHEN len({0}) > 0 THEN [array_to_string({0}, '_')] ELSE [] END"
 _STOPPED = f"lambda x: length(x) > 1 AND x NOT IN ({_list(STOPWORDS)})"
 _TITLE_WORDS, _BODY_WORDS = (f"regexp_extract_all({_norm(c)}, '[a-z0-9]+')" for c in ("title", "body"))
-SIMHASH = f"""tk AS (SELECT id, source_id, published_at, list_filter({_TITLE_WORDS}, {_STOPPED}) AS t, {_BODY_WORDS} AS b FROM a),
-ft AS (SELECT id, unnest(t) AS f, 1 AS wt FROM tk UNION ALL SELECT id, unnest(list_filter(b, {_STOPPED})[1:400]), 2 FROM tk UNION ALL SELECT id, unnest({_GRAMS.format("b[1:600]")}), 3 FROM tk),
+
+
+def _simhash(content: str, words: str) -> str:
+    """sh: SimHash of the title and of the body's content words and words in the given slices; "" takes all."""
+    return f"""tk AS (SELECT id, source_id, published_at, list_filter({_TITLE_WORDS}, {_STOPPED}) AS t, {_BODY_WORDS} AS b FROM a),
+ft AS (SELECT id, unnest(t) AS f, 1 AS wt FROM tk UNION ALL SELECT id, unnest(list_filter(b, {_STOPPED}){content}), 2 FROM tk UNION ALL SELECT id, unnest({_GRAMS.format("b" + words)}), 3 FROM tk),
 fs AS (SELECT id, ('0x' || substr(md5(f), 1, 16))::UBIGINT AS h, sum(wt)::BIGINT AS wt FROM ft GROUP BY id, f),
 sh AS (SELECT tk.id, source_id, published_at, coalesce(v, 0::UBIGINT) AS simhash FROM tk LEFT JOIN (SELECT id, {" + ".join(f"(CASE WHEN sum(CASE WHEN (h >> {i}) & 1 = 1 THEN wt ELSE -wt END) > 0 THEN {1 << i}::UBIGINT ELSE 0::UBIGINT END)" for i in range(64))} AS v FROM fs GROUP BY id) USING (id))"""
+
+
+SIMHASH, WHOLE_SIMHASH = _simhash("[1:400]", "[1:600]"), _simhash("", "")
 _NEARBY = "bit_count(xor(x.simhash, y.simhash)::BIT)::INT"
 NEAR = f"""sg AS (SELECT *, sum(gap) OVER (PARTITION BY simhash ORDER BY published_at, id) AS chain FROM (SELECT *, CASE WHEN published_at > lag(published_at) OVER (PARTITION BY simhash ORDER BY published_at, id) + INTERVAL 168 HOURS THEN 1 ELSE 0 END AS gap FROM sh)),
 sr AS (SELECT *, first_value(id) OVER g AS root, first_value(source_id) OVER g AS root_source, max(published_at) OVER (PARTITION BY simhash, chain) AS until FROM sg WINDOW g AS (PARTITION BY simhash, chain ORDER BY published_at, id)),
@@ -163,7 +170,7 @@ ORACLE_SQL = {
     "q_simhash_md5": _with(ARTICLES, SIMHASH) + "SELECT id, lpad(lower(hex(simhash)), 16, '0') AS simhash FROM sh",
     "q_bands": _with(ARTICLES, SIMHASH) + "SELECT band, lpad(lower(hex((simhash >> (8 * band)) & 255)), 2, '0') AS value, count(*) AS n FROM sh, (SELECT unnest(range(8))::INT AS band) GROUP BY ALL",
     "q_lsh_pairs": _with(ARTICLES, SIMHASH, "sc AS (SELECT *, min(id) OVER (PARTITION BY simhash) AS rep FROM sh)") + f"SELECT rep AS a, id AS b, 0 AS distance FROM sc WHERE id <> rep UNION ALL SELECT x.id, y.id, {_NEARBY} FROM sc x JOIN sc y ON x.id = x.rep AND y.id = y.rep AND x.id < y.id WHERE {_NEARBY} <= 7",
-    "q_near_dups": _with(ARTICLES, SIMHASH, NEAR) + "SELECT id, dup_of_id, distance, CASE WHEN same THEN 'near_dup' ELSE 'syndicated' END AS dup_kind, round(1.0 - distance / 64.0, 6) AS similarity FROM nd",
+    "q_near_dups": _with(ARTICLES, WHOLE_SIMHASH, NEAR) + "SELECT id, dup_of_id, distance, CASE WHEN same THEN 'near_dup' ELSE 'syndicated' END AS dup_kind, round(1.0 - distance / 64.0, 6) AS similarity FROM nd",
     "q_minhash_md5": _with(ARTICLES, MINHASH) + "SELECT id, md5(array_to_string(list_transform(minhash, lambda z: lpad(lower(hex(z)), 8, '0')), '')) AS minhash_md5 FROM mh",
     "q_minhash_jaccard": _with(ARTICLES, MINHASH) + f"SELECT a, b, jaccard FROM (SELECT x.id AS a, y.id AS b, round(CASE WHEN len(x.minhash) > 0 AND len(y.minhash) > 0 THEN {_SHARED} ELSE 0 END, 6) AS jaccard FROM mh x JOIN mh y ON x.story_id = y.story_id AND x.id < y.id) WHERE jaccard > 0",
     "q_within_group_dups": _with(ARTICLES, MINHASH) + f"SELECT id, dup_of_id, CASE WHEN same THEN 'near_dup' ELSE 'syndicated' END AS dup_kind, round(j, 4) AS similarity FROM (SELECT x.id, y.id AS dup_of_id, x.source_id = y.source_id AS same, {_SHARED} AS j FROM mh x JOIN mh y ON x.story_id = y.story_id AND y.id < x.id AND len(x.minhash) > 0 AND len(y.minhash) > 0) WHERE j >= 0.45 QUALIFY row_number() OVER (PARTITION BY id ORDER BY j DESC, dup_of_id) = 1",

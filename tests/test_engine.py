@@ -385,6 +385,18 @@ def test_shingles_are_of_the_whole_text(spark, tmp_path):
     assert all(got[i].n_distinct == len({tuple(w[k : k + 3]) for k in range(len(w) - 2)}) for i, w in words.items())
 
 
+@pytest.mark.parametrize("query", ["q_near_dups"])
+def test_near_copies_are_told_by_whole_texts(spark, tmp_path, query):
+    from storyloom.plans import queries
+
+    head = " ".join(f"w{i}" for i in range(700))
+    tails = [" ".join(f"{x}{i}" for i in range(3000)) for x in "uuv"]
+    rows = [(i, f"{head} {t}" + " end" * (i == 1), "en", "src1", 1) for i, t in enumerate(tails)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = getattr(queries, query)(spark, str(tmp_path)).collect()
+    assert [sorted(r[:2]) for r in got] == [[0, 1]]  # the third has the same first words only
+
+
 def test_entry_without_the_other_subpackage():
     import __spark_entry__ as e
 

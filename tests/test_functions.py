@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -107,6 +108,22 @@ def test_simhash_is_calibrated():
     assert [popcount(fp.simhash(*WIRE, "md5"), fp.simhash(*x, "md5")) for x in (REWRITTEN, SAME_EVENT, OTHER_EVENT)] == [13, 34, 32]
 
 
+def test_whole_simhash_counts_every_word(monkeypatch):
+    words = [f"w{i % 1500}" for i in range(2000)] + ["the", "end"]
+    weights = Counter()
+    for features, w in ((["long", "title"], 1), ([x for x in words if x != "the"], 2), (["_".join(words[i : i + 3]) for i in range(len(words) - 2)], 3)):
+        for f in features:
+            weights[f] += w
+    plain = {}
+    for family in fp.PRIME:
+        votes = [sum(w if fp.hash64(f, family) >> k & 1 else -w for f, w in weights.items()) for k in range(64)]
+        plain[family] = sum(1 << k for k in range(64) if votes[k] > 0)
+    for chunk in (fp.CHUNK, 100):
+        monkeypatch.setattr(fp, "CHUNK", chunk)
+        assert plain == {family: fp.simhash("long title", " ".join(words), family, whole=True) for family in fp.PRIME}
+    assert fp.simhash("", "the of", whole=True) == fp.simhash("", "the of") == fp.hash64("the_of", "blake2b")
+
+
 def test_memos_of_hashes_are_bounded(monkeypatch):
     texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
     plain = [(fp.simhash("", t), fp.minhash("", t)) for t in texts]
