@@ -174,7 +174,7 @@ ORACLE_SQL = {
     "q_minhash_md5": _with(ARTICLES, MINHASH) + "SELECT id, md5(array_to_string(list_transform(minhash, lambda z: lpad(lower(hex(z)), 8, '0')), '')) AS minhash_md5 FROM mh",
     "q_minhash_jaccard": _with(ARTICLES, MINHASH) + f"SELECT a, b, jaccard FROM (SELECT x.id AS a, y.id AS b, round(CASE WHEN len(x.minhash) > 0 AND len(y.minhash) > 0 THEN {_SHARED} ELSE 0 END, 6) AS jaccard FROM mh x JOIN mh y ON x.story_id = y.story_id AND x.id < y.id) WHERE jaccard > 0",
     "q_within_group_dups": _with(ARTICLES, MINHASH) + f"SELECT id, dup_of_id, CASE WHEN same THEN 'near_dup' ELSE 'syndicated' END AS dup_kind, round(j, 4) AS similarity FROM (SELECT x.id, y.id AS dup_of_id, x.source_id = y.source_id AS same, {_SHARED} AS j FROM mh x JOIN mh y ON x.story_id = y.story_id AND y.id < x.id AND len(x.minhash) > 0 AND len(y.minhash) > 0) WHERE j >= 0.45 QUALIFY row_number() OVER (PARTITION BY id ORDER BY j DESC, dup_of_id) = 1",
-    "q_dup_roots": "WITH RECURSIVE " + ", ".join((ARTICLES, SIMHASH, NEAR)) + ", up(id, dup_of_id, n) AS (SELECT id, dup_of_id, 0 FROM nd UNION ALL SELECT up.id, nd.dup_of_id, n + 1 FROM up JOIN nd ON up.dup_of_id = nd.id) SELECT id, arg_max(dup_of_id, n) AS dup_of_id FROM up GROUP BY id",
+    "q_dup_roots": "WITH RECURSIVE " + ", ".join((ARTICLES, WHOLE_SIMHASH, NEAR)) + ", up(id, dup_of_id, n) AS (SELECT id, dup_of_id, 0 FROM nd UNION ALL SELECT up.id, nd.dup_of_id, n + 1 FROM up JOIN nd ON up.dup_of_id = nd.id) SELECT id, arg_max(dup_of_id, n) AS dup_of_id FROM up GROUP BY id",
     "q_revision_fold": _with(ARTICLES, _ARRIVALS) + "SELECT url_hash, arg_min(id, n) AS id, count(*) FILTER (changed) AS revision, count(*) FILTER (NOT changed) AS replays, min(fetched_at) AS first_seen, max(fetched_at) FILTER (changed) AS updated_at, arg_max(content_hash, n) AS content_hash FROM ad GROUP BY url_hash",
     "q_idempotent_upsert": "SELECT user_id, coalesce(min(event_id) FILTER (event_type = 'click'), min(event_id)) AS event_id FROM events GROUP BY user_id",
     "q_df": _with(*_VEC) + "SELECT term, count(*) AS df FROM v GROUP BY term",
