@@ -169,7 +169,7 @@ ORACLE_SQL = {
     "q_dup_by_kind": _with(ARTICLES, PLACED) + "SELECT coalesce(dup_kind, 'original') AS dup_kind, count(*) AS n FROM p GROUP BY ALL",
     "q_simhash_md5": _with(ARTICLES, SIMHASH) + "SELECT id, lpad(lower(hex(simhash)), 16, '0') AS simhash FROM sh",
     "q_bands": _with(ARTICLES, SIMHASH) + "SELECT band, lpad(lower(hex((simhash >> (8 * band)) & 255)), 2, '0') AS value, count(*) AS n FROM sh, (SELECT unnest(range(8))::INT AS band) GROUP BY ALL",
-    "q_lsh_pairs": _with(ARTICLES, SIMHASH, "sc AS (SELECT *, min(id) OVER (PARTITION BY simhash) AS rep FROM sh)") + f"SELECT rep AS a, id AS b, 0 AS distance FROM sc WHERE id <> rep UNION ALL SELECT x.id, y.id, {_NEARBY} FROM sc x JOIN sc y ON x.id = x.rep AND y.id = y.rep AND x.id < y.id WHERE {_NEARBY} <= 7",
+    "q_lsh_pairs": _with(ARTICLES, WHOLE_SIMHASH, "sc AS (SELECT *, min(id) OVER (PARTITION BY simhash) AS rep FROM sh)") + f"SELECT rep AS a, id AS b, 0 AS distance FROM sc WHERE id <> rep UNION ALL SELECT x.id, y.id, {_NEARBY} FROM sc x JOIN sc y ON x.id = x.rep AND y.id = y.rep AND x.id < y.id WHERE {_NEARBY} <= 7",
     "q_near_dups": _with(ARTICLES, WHOLE_SIMHASH, NEAR) + "SELECT id, dup_of_id, distance, CASE WHEN same THEN 'near_dup' ELSE 'syndicated' END AS dup_kind, round(1.0 - distance / 64.0, 6) AS similarity FROM nd",
     "q_minhash_md5": _with(ARTICLES, MINHASH) + "SELECT id, md5(array_to_string(list_transform(minhash, lambda z: lpad(lower(hex(z)), 8, '0')), '')) AS minhash_md5 FROM mh",
     "q_minhash_jaccard": _with(ARTICLES, MINHASH) + f"SELECT a, b, jaccard FROM (SELECT x.id AS a, y.id AS b, round(CASE WHEN len(x.minhash) > 0 AND len(y.minhash) > 0 THEN {_SHARED} ELSE 0 END, 6) AS jaccard FROM mh x JOIN mh y ON x.story_id = y.story_id AND x.id < y.id) WHERE jaccard > 0",

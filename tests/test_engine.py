@@ -385,7 +385,7 @@ def test_shingles_are_of_the_whole_text(spark, tmp_path):
     assert all(got[i].n_distinct == len({tuple(w[k : k + 3]) for k in range(len(w) - 2)}) for i, w in words.items())
 
 
-@pytest.mark.parametrize("query", ["q_near_dups", "q_dup_roots"])
+@pytest.mark.parametrize("query", ["q_near_dups", "q_dup_roots", "q_lsh_pairs"])
 def test_near_copies_are_told_by_whole_texts(spark, tmp_path, query):
     from storyloom.plans import queries
 
