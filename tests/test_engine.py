@@ -397,6 +397,33 @@ def test_near_copies_are_told_by_whole_texts(spark, tmp_path, query):
     assert [sorted(r[:2]) for r in got] == [[0, 1]]  # the third has the same first words only
 
 
+def test_whole_reading_agrees_with_the_columns_on_short_texts(spark):
+    other = [(1, f"https://a.com/{i}", t, b, None, None, None, None, None, f"b_{i}", AS_OF) for i, (t, b) in enumerate((
+        ("<b>NATO and the European Union</b> meet", "Mr. Smith of the United Nations said 1,5 or 7 &amp;amp; 12.50 <i>percent</i>"),
+        ("Überraschung für Café de Paris", "Les Élèves ont vu\u00a0la Tour Eiffel und 3 ﬁlms ½ Ａ"), ("A title without a body", None), ("the of and in to", "the of"), ("?!?!?!?!?", "one"),
+    ))]
+    raw = spark.createDataFrame([*raw_articles(), *other], schema.RAW_ARTICLE + ", id string, fetched_at timestamp_ntz")
+    names = ("id", "language", "topics", "entities", "simhash", "minhash", "blocking_key", "url_hash", "content_hash", "terms", "factors")
+    plain = normaliser.normalise(raw, NOW, exact=True)
+    plain = cluster._slim(plain).select(*names).orderBy("id").collect()
+    assert cluster._slim(normaliser.normalise_whole(raw, NOW)).select(*names).orderBy("id").collect() == plain and len(plain) == 27
+
+
+@pytest.mark.parametrize("query", ["q_cluster_states"])
+def test_articles_are_placed_by_whole_texts(spark, tmp_path, query):
+    from storyloom.plans import queries
+
+    head = "The same title of all\n" + " ".join(f"word{i}" for i in range(3000))
+    tails = [" ".join(f"{x}{i}" for i in range(9000)) for x in "uuv"]
+    rows = [(i, f"{head} {t}", "en", "src1", 1) for i, t in enumerate(tails)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = getattr(queries, query)(spark, str(tmp_path)).collect()
+    if query == "q_clusters":  # the third has the same first 20,000 letters only
+        assert sorted((r.id[-1], r.status, r.dup_kind) for r in got) == [("0", "created", None), ("1", "duplicate", "exact_content"), ("2", "created", None)]
+    else:
+        assert sum(r.member_count for r in got) == 2
+
+
 def test_entry_without_the_other_subpackage():
     import __spark_entry__ as e
 
