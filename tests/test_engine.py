@@ -409,7 +409,7 @@ def test_whole_reading_agrees_with_the_columns_on_short_texts(spark):
     assert cluster._slim(normaliser.normalise_whole(raw, NOW)).select(*names).orderBy("id").collect() == plain and len(plain) == 27
 
 
-@pytest.mark.parametrize("query", ["q_cluster_states"])
+@pytest.mark.parametrize("query", ["q_clusters", "q_cluster_states"])
 def test_articles_are_placed_by_whole_texts(spark, tmp_path, query):
     from storyloom.plans import queries
 
