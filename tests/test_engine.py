@@ -424,6 +424,18 @@ def test_articles_are_placed_by_whole_texts(spark, tmp_path, query):
         assert sum(r.member_count for r in got) == 2
 
 
+def test_idle_stories_are_looked_for_again_once_they_are_active():
+    import numpy as np
+    import pandas as pd
+
+    at, fold = pd.Timestamp(AS_OF), cluster.Fold()
+    story = cluster.Story("s_1", "en", "k", "1", [], at, at, at, cluster.Sparse(np.array([3, 5]), np.array([1.0, 2.0]), 9))
+    fold.resume(story, at + pd.Timedelta(hours=1))
+    assert fold.stories == {"s_1": story} and not fold.by_term
+    fold.revive(story, at + pd.Timedelta(hours=2))
+    assert set(fold.by_term) == {("en", 3), ("en", 5)} and story.active == at + pd.Timedelta(hours=2)
+
+
 def test_entry_without_the_other_subpackage():
     import __spark_entry__ as e
 
